@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import exact_dedup, line_dedup
+from tallyloom.llm import bpe, exact_dedup, line_dedup, token_output
 from tallyloom.llm.common import table
 
 OP1_SQL = r"""
@@ -37,8 +37,16 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_table(table(spark, sf_dir, "documents"), digests_only=True)
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op3_exact_dedup": op3_exact_dedup}
+    return {"op1_line_dedup": op1_line_dedup, "op3_exact_dedup": op3_exact_dedup, "op7_bpe": op7_bpe, "op9_token_output": op9_token_output}
 
 
 def oracle_sql() -> dict[str, str]:
