@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bpe, exact_dedup, line_dedup, token_output
+from tallyloom.llm import bpe, exact_dedup, line_dedup, minhash, token_output
 from tallyloom.llm.common import table
 
 OP1_SQL = r"""
@@ -37,6 +37,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(table(spark, sf_dir, "documents"), digests_only=True)
 
@@ -46,7 +50,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op3_exact_dedup": op3_exact_dedup, "op7_bpe": op7_bpe, "op9_token_output": op9_token_output}
+    return {"op1_line_dedup": op1_line_dedup, "op3_exact_dedup": op3_exact_dedup, "op6_minhash": op6_minhash, "op7_bpe": op7_bpe, "op9_token_output": op9_token_output}
 
 
 def oracle_sql() -> dict[str, str]:
