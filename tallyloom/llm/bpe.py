@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tallyloom.llm.common import plain
+
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -153,10 +155,10 @@ def encode_table(docs: DataFrame, ranks_path: str | None = None, pattern: str |
                 n, ids_sha, text_sha = zip(*rows) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-        return docs.select("doc_id", "text").mapInArrow(digests, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+        return plain(docs, "doc_id", "text").mapInArrow(digests, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
     keep = [c for c in docs.columns if c not in ("token_ids", "decoded")]
-    docs = docs.select(*[f"`{c}`" for c in keep])
+    docs = plain(docs, *keep)
     at = keep.index("text")
     from pyspark.sql import types as T
 

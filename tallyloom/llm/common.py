@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tallyloom.shipping import ship_package
+
 ASCII_SPACE = " \t\n\x0b\f\r"  # [\x20\x09-\x0D]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -80,4 +82,5 @@ def fingerprint(c: Column) -> tuple[Column, Column]:
 
 def plain(df: DataFrame, *columns: str) -> DataFrame:
     """The given columns alone: extra columns of any name never meet those that an operator makes."""
+    ship_package(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in columns])

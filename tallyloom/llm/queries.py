@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bpe, exact_dedup, line_dedup, minhash, token_output
+from tallyloom.llm import bpe, decontam, exact_dedup, line_dedup, minhash, token_output, toxicity
 from tallyloom.llm.common import table
 
 OP1_SQL = r"""
@@ -33,6 +33,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -49,8 +53,12 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op3_exact_dedup": op3_exact_dedup, "op6_minhash": op6_minhash, "op7_bpe": op7_bpe, "op9_token_output": op9_token_output}
+    return {"op1_line_dedup": op1_line_dedup, "op2_toxicity": op2_toxicity, "op3_exact_dedup": op3_exact_dedup, "op6_minhash": op6_minhash, "op7_bpe": op7_bpe, "op9_token_output": op9_token_output, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
