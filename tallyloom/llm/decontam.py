@@ -1,5 +1,6 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows in a multi-index, verified exactly.
 
+Words are runs of non-space characters, lower-cased.
 An item's fingerprint is the 64-bit SimHash of its weighted word shingles (weight: how often a shingle occurs). A
 document's windows have as many words as an item, for each item size, at every position where a window shares a shingle
 with some item; windows that share none have similarity 0. Fingerprints are cut into 8 blocks of 8 bits, and a
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallyloom.llm.common import Workspace, plain
-from tallyloom.llm.words import SHINGLE, shingle_hashes, texts, word_hashes, words_of
+from tallyloom.llm.words import SHINGLE, folded_words, shingle_hashes, texts, word_hashes
 
 RADIUS, BLOCKS, BLOCK_BITS = 23, 8, 8
 ITEMS, ITEM_BYTES = 20_000, 16 << 20
@@ -75,7 +76,7 @@ class Items:
         by_width: dict[int, list] = {}
         gate: dict[int, set[int]] = {}
         for item, text in rows:
-            hashes = word_hashes(words_of(text))
+            hashes = word_hashes(folded_words(text))
             if len(hashes):
                 shingles = shingle_hashes(hashes)
                 by_width.setdefault(len(hashes), []).append((item, shingles))
@@ -90,7 +91,7 @@ class Items:
 
     def matches(self, text: bytes | None, threshold: float) -> dict[int, tuple[float, int, int]]:
         """item -> best similarity, first word and end word of its window; the earliest of equal windows."""
-        hashes = word_hashes(words_of(text))
+        hashes = word_hashes(folded_words(text))
         found: dict[int, tuple[float, int, int]] = {}
         for width, (known, bits) in self.gates.items():
             if len(hashes) < width:

@@ -41,6 +41,11 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+def folded_words(text: bytes | None) -> list[bytes]:
+    """Words with all letters lower-cased, not A-Z alone."""
+    return words_of(text if not text or text.isascii() else text.decode().lower().encode())
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
 
