@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bpe, decontam, exact_dedup, langid, line_dedup, minhash, token_output, toxicity
+from tallyloom.llm import bpe, decontam, exact_dedup, langid, line_dedup, lm, minhash, token_output, toxicity
 from tallyloom.llm.common import table
 
 OP1_SQL = r"""
@@ -53,6 +53,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(table(spark, sf_dir, "documents"), digests_only=True)
 
 
+def op8_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digests(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_toxicity": op2_toxicity, "op3_exact_dedup": op3_exact_dedup, "op5_language_id": op5_language_id, "op6_minhash": op6_minhash, "op7_bpe": op7_bpe, "op9_token_output": op9_token_output, "op10_decontamination": op10_decontamination}
+    return {"op1_line_dedup": op1_line_dedup, "op2_toxicity": op2_toxicity, "op3_exact_dedup": op3_exact_dedup, "op5_language_id": op5_language_id, "op6_minhash": op6_minhash, "op7_bpe": op7_bpe, "op8_katz_lm": op8_katz_lm, "op9_token_output": op9_token_output, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
