@@ -10,7 +10,7 @@ Rows with equal sets form one class; only classes are compared. ``BANDS`` bands
 candidates: at similarity 0.85 a pair misses all of them with probability 2e-6. In each bucket all members are
 compared with its smallest id first. Then, in buckets that still hold several components, blocks of members are compared
 register by register, and pairs across components with a high estimate (five standard deviations below the threshold
-or more) are verified. Pairs inside a component, and only these, are left out: they can't change components. Every link
+or more) are verified: twice each member's best pair alone, so that components grow fast, and at last all of them. Pairs inside a component, and only these, are left out: they can't change components. Every link
 is verified on full shingle sets (sorted 64-bit hashes).
 
 Defined cases: texts without words (null, empty, white space) are linked with nothing. Rows that repeat a doc_id are
@@ -36,6 +36,8 @@ BANDS, ROWS = 34, 7
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 ROUNDS = 6
+#: Times that components first grow along each member's best pair, before all pairs across components are compared.
+MERGES = 2
 BLOCK = 512
 #: Ids from here on stand for rows without doc_id.
 NO_ID = 1 << 62
@@ -155,8 +157,11 @@ def _linked(percent: int):
     return run
 
 
-def _across(threshold: float):
-    """For the two blocks of one bucket: pairs across components with a high estimate, each in the first band that it shares."""
+def _across(threshold: float, best: bool):
+    """For two blocks of one bucket: pairs across components with a high estimate, each in the first band that it shares.
+
+    With ``best``, only each member's pair of the highest estimate.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         left, right = (group.filter(pa.compute.equal(group["side"], s)) for s in (0, 1))
@@ -172,9 +177,14 @@ def _across(threshold: float):
             js = np.flatnonzero((cb != ca[i]) & ((ib > ia[i]) if same else True))
             if not len(js):
                 continue
-            js = js[estimate((rb[js] == ra[i]).sum(1), np.full(len(js), na[i]), nb[js]) >= _slack(threshold)]
-            shared = keys_b[js] == keys_a[i]
-            js = js[keys_b[js, shared.argmax(1)] == bucket] if len(js) else js
+            value = estimate((rb[js] == ra[i]).sum(1), np.full(len(js), na[i]), nb[js])
+            js, value = js[value >= _slack(threshold)], value[value >= _slack(threshold)]
+            if not len(js):
+                continue
+            here = keys_b[js, (keys_b[js] == keys_a[i]).argmax(1)] == bucket
+            js, value = js[here], value[here]
+            if best and len(js):
+                js = js[value.argmax()][None]
             out_a += np.minimum(ia[i], ib[js]).tolist()
             out_b += np.maximum(ia[i], ib[js]).tolist()
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
@@ -182,6 +192,16 @@ def _across(threshold: float):
     return run
 
 
+def _mixed(members: DataFrame, labels: DataFrame, regs: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, dealt to pairs of blocks; two members alone were compared as a star."""
+    labelled = members.join(labels, "id", "left").select("bucket", "size", "id", F.coalesce("component", "id").alias("component"))
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("size").alias("n_members")).filter("low < high and n_members > 2").select("bucket")
+    left = labelled.join(mixed, "bucket", "left_semi").join(regs, "id")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    left = left.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return left.select("bucket", "id", "component", "n", "regs", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
@@ -216,19 +236,21 @@ def near_classes(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, DataFra
     sets = with_text.mapInArrow(_sets, "id bigint, shingles binary")
     sets = work.write(sets.unionByName(_sets_without_id(docs, chosen)), "sets")
 
-    links = work.write(_verified(likely, sets, percent), "links-1")
-    first = components(links, work, "first")
-    labelled = members.join(first, "id", "left").select("bucket", "size", "id", F.coalesce("component", "id").alias("component"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("size").alias("n_members")).filter("low < high and n_members > 2").select("bucket")
-    left = work.write(labelled.join(mixed, "bucket", "left_semi").join(regs, "id"), "left")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    dealt = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("bucket", "id", "component", "n", "regs", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    more = dealt.groupBy("bucket", "i", "j").applyInArrow(_across(threshold), "a bigint, b bigint")
-    more = work.write(more.distinct().join(likely, ["a", "b"], "left_anti"), "more")
-    found = work.write(_verified(more, sets, percent), "links-2")
-    labels = components(links.unionByName(found), work, "all") if not found.isEmpty() else first
+    links = work.write(_verified(likely, sets, percent), "links-0")
+    labels = components(links, work, "labels-0")
+    tested = likely
+    for step in range(1, MERGES + 2):
+        left = work.write(_mixed(members, labels, regs), f"left-{step}")
+        if left.isEmpty():
+            break
+        pairs = left.groupBy("bucket", "i", "j").applyInArrow(_across(threshold, step <= MERGES), "a bigint, b bigint").distinct()
+        pairs = work.write(pairs.join(tested, ["a", "b"], "left_anti"), f"pairs-{step}")
+        work.drop(f"left-{step}")
+        found = work.write(_verified(pairs, sets, percent), f"links-{step}")
+        tested = tested.unionByName(pairs)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = components(links, work, f"labels-{step}")
     return rows.select("doc_id", "n", "k1", "k2"), classes.join(labels, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
 
 
