@@ -275,3 +275,35 @@ def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     out = rows.filter("n > 0").join(classes, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), named.alias("component_id"))
     alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest id; all columns.
+
+    Of rows that repeat an id, or that have none, one of each text stays. Texts without words stay.
+    """
+    work = Workspace(docs.sparkSession, "near")
+    rows, classes = near_classes(docs, percent)
+    kept = rows.filter("n > 0").join(classes, ["k1", "k2"])
+    node = F.coalesce("doc_id", F.lit(NO_ID) + F.pmod("k1", F.lit(NO_ID)))
+    gone = work.write(kept.filter(node > F.col("component")).select("doc_id", "k1").distinct(), "gone")
+    names = docs.columns
+    with_id = docs.join(gone.filter("doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct(), F.col("doc_id") == F.col("__gone"), "left_anti") if "__gone" not in names else docs
+    lone = docs.filter("doc_id is null").limit(1)
+    if lone.isEmpty():
+        return with_id.select(*names)
+    # rows without an id go by their text's set
+    nameless = with_id.filter("doc_id is null").withColumn("__row", F.monotonically_increasing_id())
+    nameless = work.write(nameless, "nameless")
+    keys = nameless.select(F.col("__row"), "text").mapInArrow(_row_keys, "__row bigint, n bigint, k1 bigint")
+    lost = gone.filter("doc_id is null").select("k1")
+    first = keys.groupBy("k1").agg(F.min("__row").alias("first"))
+    bad = keys.join(lost, "k1", "left_semi").unionByName(keys.join(first, "k1").filter("n > 0 and __row > first").select("k1", "__row", "n")).select("__row").distinct()
+    return with_id.filter("doc_id is not null").select(*names).unionByName(nameless.join(bad, "__row", "left_anti").select(*names))
+
+
+def _row_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(x) for x in texts(batch.column(1))]
+        keys = [int(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64)[0]) for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64())], names=["__row", "n", "k1"])

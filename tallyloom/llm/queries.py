@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bpe, decontam, exact_dedup, langid, line_dedup, lm, minhash, token_output, toxicity
+from tallyloom.llm import bpe, decontam, exact_dedup, langid, line_dedup, lm, minhash, pii, token_output, toxicity
 from tallyloom.llm.common import table
 
 OP1_SQL = r"""
@@ -41,6 +41,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_toxicity": op2_toxicity, "op3_exact_dedup": op3_exact_dedup, "op5_language_id": op5_language_id, "op6_minhash": op6_minhash, "op7_bpe": op7_bpe, "op8_katz_lm": op8_katz_lm, "op9_token_output": op9_token_output, "op10_decontamination": op10_decontamination}
+    return {"op1_line_dedup": op1_line_dedup, "op2_toxicity": op2_toxicity, "op3_exact_dedup": op3_exact_dedup, "op4_pii": op4_pii, "op5_language_id": op5_language_id, "op6_minhash": op6_minhash, "op7_bpe": op7_bpe, "op8_katz_lm": op8_katz_lm, "op9_token_output": op9_token_output, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
