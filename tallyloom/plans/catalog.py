@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from tallyloom.plans import core_queries  # noqa: F401
