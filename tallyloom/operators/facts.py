@@ -16,7 +16,7 @@ def parse_lines(texts: DataFrame) -> DataFrame:
     """A row for each FACT line of ``texts`` (id, text): subject, predicate, value and confidence (0.9 by default)."""
     lines = texts.select("id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.col("line").rlike(_LINE))
     group = lambda n: F.regexp_extract("line", _LINE, n)
-    return lines.select("id", "line_no", group(1).alias("subject"), group(2).alias("predicate"), group(3).alias("value"), F.coalesce(clamp(F.expr("try_cast(nullif(regexp_extract(line, r'" + _LINE.replace("'", "\\'") + "', 4), '') AS double)")), F.lit(0.9)).alias("confidence"))
+    return lines.select("id", "line_no", group(1).alias("subject"), group(2).alias("predicate"), group(3).alias("value"), clamp(F.coalesce(F.nullif(group(4), F.lit("")).try_cast("double"), F.lit(0.9))).alias("confidence"))
 
 
 def narrative(text: Column) -> Column:
@@ -27,7 +27,7 @@ def parse_json(texts: DataFrame) -> DataFrame:
     """A row for each complete fact in JSON arrays of facts."""
     kind = "array<struct<subject:string,predicate:string,value:string,confidence:double>>"
     f = texts.select("id", F.explode(F.from_json("text", kind)).alias("f")).select("id", "f.*").filter("subject is not null and predicate is not null and value is not null")
-    return f.withColumn("confidence", F.coalesce(clamp(F.col("confidence")), F.lit(0.9)))
+    return f.withColumn("confidence", clamp(F.coalesce("confidence", F.lit(0.9))))
 
 
 def consolidate(facts: DataFrame) -> DataFrame:
