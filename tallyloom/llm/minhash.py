@@ -9,7 +9,7 @@ compressed registers, which the estimate corrects.
 Rows with equal sets form one class; only classes are compared. ``BANDS`` bands of ``ROWS`` registers make buckets of
 candidates: at similarity 0.85 a pair misses all of them with probability 2e-6. In each bucket all members are
 compared with its smallest id first. Then, in buckets that still hold several components, blocks of members are compared
-register by register, and pairs across components with a high estimate (five standard deviations below the threshold
+register by register (of a finer sketch), and pairs across components with a high estimate (five standard deviations below the threshold
 or more) are verified: twice each member's best pair alone, so that components grow fast, and at last all of them. Pairs inside a component, and only these, are left out: they can't change components. Every link
 is verified on full shingle sets (sorted 64-bit hashes).
 
@@ -38,21 +38,23 @@ MANTISSA = 10
 ROUNDS = 6
 #: Times that components first grow along each member's best pair, before all pairs across components are compared.
 MERGES = 2
-BLOCK = 512
+#: Registers of the finer sketch by which the members of mixed buckets are compared.
+FINE = 512
+BLOCK = 2048
 #: Ids from here on stand for rows without doc_id.
 NO_ID = 1 << 62
-_SEEDS = mix(np.arange(1, ROUNDS + REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SEEDS = mix(np.arange(1, ROUNDS + max(REGISTERS, FINE) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def registers(shingles: np.ndarray) -> np.ndarray:
+def registers(shingles: np.ndarray, size: int = REGISTERS) -> np.ndarray:
     """The compressed registers (uint16) of a set of shingle hashes that isn't empty."""
-    best = np.full(REGISTERS, _LOW, dtype=np.uint64)
-    empty = np.ones(REGISTERS, dtype=bool)
+    best = np.full(size, _LOW, dtype=np.uint64)
+    empty = np.ones(size, dtype=bool)
     with np.errstate(over="ignore"):
         for t in range(ROUNDS):
             h = mix(shingles ^ _SEEDS[t])
-            bucket = ((h >> np.uint64(32)) * np.uint64(REGISTERS)) >> np.uint64(32)
+            bucket = ((h >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)
             value = h & _LOW
             if t:
                 held = empty[bucket]
@@ -71,19 +73,19 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return (((32 - bits) << MANTISSA) | mantissa).astype(np.uint16)
 
 
-def chance(n_a, n_b) -> np.ndarray:
+def chance(n_a, n_b, size: int = REGISTERS) -> np.ndarray:
     """The probability that registers of two disjoint sets of these sizes collide."""
     level = np.arange(32)
     def share(n):
-        load = np.maximum(np.asarray(n, dtype=np.float64)[..., None] / REGISTERS, 1.0)
+        load = np.maximum(np.asarray(n, dtype=np.float64)[..., None] / size, 1.0)
         return np.exp(-load * 2.0 ** -(level + 1)) - np.exp(-load * 2.0**-level)
     return (share(n_a) * share(n_b)).sum(-1) / (1 << MANTISSA)
 
 
-def estimate(equal, n_a, n_b) -> np.ndarray:
+def estimate(equal, n_a, n_b, size: int = REGISTERS) -> np.ndarray:
     """Jaccard similarity from the share of equal registers, corrected for collisions."""
-    c = chance(n_a, n_b)
-    return np.clip((np.asarray(equal) / REGISTERS - c) / (1 - c), 0, 1)
+    c = chance(n_a, n_b, size)
+    return np.clip((np.asarray(equal) / size - c) / (1 - c), 0, 1)
 
 
 def band_hashes(regs: np.ndarray) -> np.ndarray:
@@ -96,8 +98,8 @@ def band_hashes(regs: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _slack(threshold: float) -> float:
-    return threshold - 5 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
+def _slack(threshold: float, size: int = REGISTERS) -> float:
+    return threshold - 5 * (threshold * (1 - threshold) / size) ** 0.5
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +128,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(x).tobytes() for x in texts(part.column(1))], pa.binary())], names=["id", "shingles"])
+            sets = [shingle_set(x) for x in texts(part.column(1))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([registers(x, FINE).tobytes() for x in sets], pa.binary())], names=["id", "shingles", "fine"])
 
 
 def _likely(threshold: float):
@@ -167,18 +170,18 @@ def _across(threshold: float, best: bool):
         left, right = (group.filter(pa.compute.equal(group["side"], s)) for s in (0, 1))
         same = right.num_rows == 0
         right = left if same else right
-        unpack = lambda t: (t["id"].to_numpy(), t["component"].to_numpy(), t["n"].to_numpy(), np.frombuffer(b"".join(t["regs"].to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS))
-        ia, ca, na, ra = unpack(left)
-        ib, cb, nb, rb = unpack(right)
-        bucket = group["bucket"][0].as_py()
-        keys_a, keys_b = band_hashes(ra), band_hashes(rb)
+        whole = lambda t, c, k: np.frombuffer(b"".join(t[c].to_pylist()), dtype=np.uint16).reshape(-1, k)
+        unpack = lambda t: (t["id"].to_numpy(), t["component"].to_numpy(), t["n"].to_numpy(), whole(t, "fine", FINE), band_hashes(whole(t, "regs", REGISTERS)))
+        ia, ca, na, ra, keys_a = unpack(left)
+        ib, cb, nb, rb, keys_b = unpack(right)
+        bucket, least = group["bucket"][0].as_py(), _slack(threshold, FINE)
         out_a, out_b = [], []
         for i in range(len(ia)):
             js = np.flatnonzero((cb != ca[i]) & ((ib > ia[i]) if same else True))
             if not len(js):
                 continue
-            value = estimate((rb[js] == ra[i]).sum(1), np.full(len(js), na[i]), nb[js])
-            js, value = js[value >= _slack(threshold)], value[value >= _slack(threshold)]
+            value = estimate((rb[js] == ra[i]).sum(1), np.full(len(js), na[i]), nb[js], FINE)
+            js, value = js[value >= least], value[value >= least]
             if not len(js):
                 continue
             here = keys_b[js, (keys_b[js] == keys_a[i]).argmax(1)] == bucket
@@ -199,7 +202,7 @@ def _mixed(members: DataFrame, labels: DataFrame, regs: DataFrame) -> DataFrame:
     left = labelled.join(mixed, "bucket", "left_semi").join(regs, "id")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     left = left.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return left.select("bucket", "id", "component", "n", "regs", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    return left.select("bucket", "id", "component", "n", "regs", "fine", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -233,14 +236,14 @@ def near_classes(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, DataFra
     wanted = members.select("id").distinct().join(classes.select("id", "k1", "k2"), "id")
     chosen = rows.withColumn("id", node).join(wanted, ["id", "k1", "k2"], "left_semi").select("doc_id", "id", "k1").distinct()
     with_text = docs.alias("d").join(chosen.filter("doc_id is not null").alias("c"), "doc_id").select("id", "text")
-    sets = with_text.mapInArrow(_sets, "id bigint, shingles binary")
+    sets = with_text.mapInArrow(_sets, "id bigint, shingles binary, fine binary")
     sets = work.write(sets.unionByName(_sets_without_id(docs, chosen)), "sets")
 
     links = work.write(_verified(likely, sets, percent), "links-0")
     labels = components(links, work, "labels-0")
     tested = likely
     for step in range(1, MERGES + 2):
-        left = work.write(_mixed(members, labels, regs), f"left-{step}")
+        left = work.write(_mixed(members, labels, regs.join(sets.select("id", "fine").dropDuplicates(["id"]), "id")), f"left-{step}")
         if left.isEmpty():
             break
         pairs = left.groupBy("bucket", "i", "j").applyInArrow(_across(threshold, step <= MERGES), "a bigint, b bigint").distinct()
@@ -257,15 +260,15 @@ def near_classes(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, DataFra
 def _sets_without_id(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """Sets of the classes whose rows all lack an id: their texts are found by the set's own digest."""
     lone = chosen.filter("doc_id is null").select("id", "k1").distinct()
-    again = docs.filter("doc_id is null").mapInArrow(_keyed_sets, "k1 bigint, shingles binary")
-    return again.join(lone, "k1").groupBy("id").agg(F.any_value("shingles").alias("shingles"))
+    again = docs.filter("doc_id is null").mapInArrow(_keyed_sets, "k1 bigint, shingles binary, fine binary")
+    return again.join(lone, "k1").groupBy("id").agg(F.any_value("shingles").alias("shingles"), F.any_value("fine").alias("fine"))
 
 
 def _keyed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingle_set(x).tobytes() for x in texts(batch.column(1))]
-        keys = [int(np.frombuffer(hashlib.blake2b(s, digest_size=16).digest(), dtype=np.int64)[0]) for s in sets]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["k1", "shingles"])
+        sets = [x for x in map(shingle_set, texts(batch.column(1))) if len(x)]
+        keys = [int(np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), dtype=np.int64)[0]) for x in sets]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([registers(x, FINE).tobytes() for x in sets], pa.binary())], names=["k1", "shingles", "fine"])
 
 
 def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
