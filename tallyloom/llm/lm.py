@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 from tallyloom.llm.common import Workspace, plain
 from tallyloom.llm.words import texts, word_hashes, words_of
 
-CHUNK, CHUNK_DOCS = 2_000_000, 20_000
+CHUNK, CHUNK_DOCS = 1_500_000, 20_000
 TOP, CUTOFF = 5, 1
 #: A history's discounts free this part of a count at least, else its denominator grows until they do.
 HALF = 0.5
@@ -73,6 +73,15 @@ def _chunked(batches: Iterator[pa.RecordBatch], limit: int = CHUNK) -> Iterator[
         yield flush()
 
 
+def _row(table: pa.Table | pa.RecordBatch, i: int = 0) -> dict:
+    """A chunk's row; its lists of numbers as arrays."""
+    out = {}
+    for name in table.schema.names:
+        value = table.column(name)[i]
+        out[name] = value.values.to_numpy(zero_copy_only=False) if pa.types.is_list(value.type) and name != "doc_ids" else value.as_py()
+    return out
+
+
 def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Local word numbers, lengths of the documents, and the flags of their first tokens."""
     tokens, lengths = np.frombuffer(row["tokens"], np.uint32).astype(np.int64), np.frombuffer(row["lengths"], np.int64)
@@ -94,8 +103,7 @@ def _keys(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np
 
 def _with_ids(left: pa.Table, right: pa.Table) -> pa.Table:
     """A chunk with its words' ids and corpus counts."""
-    row = left.to_pylist()[0]
-    n = len(row["vocab"])
+    n = len(left.column("vocab")[0].values)
     ids, counts = np.zeros(n, np.int64), np.zeros(n, np.int64)
     at = right["pos"].to_numpy()
     ids[at], counts[at] = right["id"].to_numpy(), right["c"].to_numpy()
@@ -105,7 +113,8 @@ def _with_ids(left: pa.Table, right: pa.Table) -> pa.Table:
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(chunk, key, n): a chunk's distinct bigrams of known histories, with their count in its training documents."""
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):
+            row = _row(batch, i)
             keys, _, _, lengths, _ = _keys(row)
             train = np.repeat(~np.array(row["held"], dtype=bool), lengths)
             good = (keys >= 0) & ((keys & 0xFFFFFFFF) > 0)
@@ -116,6 +125,45 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), row["chunk"])), pa.array(part), pa.array(counts[at : at + 200_000])], names=["chunk", "key", "n"])
 
 
+def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted bigram keys and counts: steps of the histories, words and counts in planes of bytes, compressed."""
+    import zstandard
+
+    history = np.diff(keys >> 32, prepend=0).astype("<u4")
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes() for x in (history, (keys & 0xFFFFFFFF).astype("<u4"), np.minimum(counts, 0xFFFFFFFF).astype("<u4"))]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def _unpacked(held: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(held), np.uint8).reshape(3, 4, -1)
+    history, word, counts = (np.ascontiguousarray(x.T).view("<u4").ravel().astype(np.int64) for x in planes)
+    return (np.cumsum(history) << 32) | word, counts
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(of, packed): for each chunk its bigrams in some batches of the pairs table."""
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        chunk, key, total = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(3))
+        order = np.lexsort((key, chunk))
+        chunk, key, total = chunk[order], key[order], total[order]
+        cuts = np.r_[np.flatnonzero(np.diff(chunk, prepend=chunk[0] - 1)), len(chunk)]
+        rows = [(int(chunk[a]), _packed(key[a:b], total[a:b])) for a, b in zip(cuts, cuts[1:])]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["of", "packed"])
+
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= 2_000_000:
+            yield packed(held)
+            held, n = [], 0
+    if held:
+        yield packed(held)
+
+
 def discounts(count_of: dict[int, int], low: int, top: int = TOP) -> dict[int, float]:
     """Good-Turing: r -> d with discounted count d * r, for low <= r <= top; 1 where counts of counts allow none."""
     out = {}
@@ -153,17 +201,17 @@ class Unigrams:
 
 def _scorer(unigrams: Unigrams, d_pairs: dict[int, float]):
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
+        row = _row(left)
         keys, history, tokens, lengths, _ = _keys(row)
         counts = np.asarray(row["counts"], dtype=np.int64)
-        given, value = right["key"].to_numpy(), right["value"].to_numpy()
-        order = np.argsort(given, kind="stable")
-        given, value = given[order], value[order]
-        split = np.searchsorted(given, 0)
-        # backoff weights stand under negative keys
-        h_key, h_value = (-1 - given[:split][::-1]), value[:split][::-1]
-        h_key, h_alpha, h_times = h_key[::2] >> 1, h_value[::2], h_value[1::2]
-        p_key, p_count = given[split:], value[split:]
+        asked = right.filter(pa.compute.is_valid(right["h"]))
+        h_key = asked["h"].to_numpy()
+        order = np.argsort(h_key)
+        h_key, h_alpha, h_times = h_key[order], asked["alpha"].to_numpy()[order], asked["times"].to_numpy()[order]
+        packed = [_unpacked(k) for k in right["packed"].to_pylist() if k is not None]
+        p_key = np.concatenate([k for k, _ in packed]) if packed else np.empty(0, np.int64)
+        order = np.argsort(p_key)
+        p_key, p_count = p_key[order], np.concatenate([n for _, n in packed])[order] if packed else p_key
         c = counts[tokens]
         uni = np.log10(unigrams.array(counts))[tokens]
         alpha, times = np.zeros(len(tokens)), np.ones(len(tokens))
@@ -237,9 +285,10 @@ def katz_scores(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     histories = words.select(F.col("id").alias("h"), F.col("c").alias("times")).unionByName(docs.sparkSession.createDataFrame([(0, starts)], "h bigint, times bigint"))
     times = F.greatest(F.col("times").cast("double"), F.col("mass") + HALF)
     alpha = F.log10((1 - F.col("mass") / times) / F.greatest(1 - F.col("p"), F.lit(1e-12)))
-    backoff = work.write(sums.join(histories, "h").select("h", F.array(F.struct((-1 - 2 * F.col("h")).alias("key"), alpha.alias("value")), F.struct((-2 - 2 * F.col("h")).alias("key"), times.alias("value"))).alias("x")), "backoff")
+    backoff = work.write(sums.join(histories, "h").select("h", alpha.alias("alpha"), times.alias("times")), "backoff")
 
     asked = known.select("chunk", F.explode("ids").alias("h")).filter("h > 0").unionByName(known.select("chunk", F.lit(0).cast("bigint").alias("h")))
-    answers = asked.join(backoff, "h").select(F.col("chunk").alias("of"), F.inline("x"))
-    answers = answers.unionByName(pairs.select(F.col("chunk").alias("of"), "key", F.col("total").cast("double").alias("value")))
+    weights = asked.join(backoff, "h").select(F.col("chunk").alias("of"), "h", "alpha", "times", F.lit(None).cast("binary").alias("packed"))
+    counts = pairs.select("chunk", "key", "total").mapInArrow(_answers, "of bigint, packed binary")
+    answers = weights.unionByName(counts, allowMissingColumns=True)
     return known.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(_scorer(unigrams, d_pairs), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
