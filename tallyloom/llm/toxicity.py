@@ -65,14 +65,15 @@ class Ordinal:
 
     @classmethod
     def fit(cls, rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 250, l1: float = 1e-3, least: int = 10) -> Ordinal:
-        """``rows``: grade, feature ids, counts. Features in fewer than ``least`` documents are left out."""
+        """``rows``: grade, feature ids, counts. Features of fewer than ``least`` documents, or of more than half of them, are left out."""
         grades = np.array([g for g, _, _ in rows])
         if not len(rows) or not (grades > 0).any():
             return cls(np.zeros(1 << BITS, np.float32), np.full(GRADES - 1, 40.0))
         ids = np.concatenate([x for _, x, _ in rows]).astype(np.int64)
         row = np.repeat(np.arange(len(rows)), [len(x) for _, x, _ in rows])
         value = np.sqrt(np.concatenate([x for _, _, x in rows]).astype(np.float64))
-        kept = np.bincount(ids, minlength=1 << BITS) >= min(least, max(2, len(rows) // 50))
+        seen = np.bincount(ids, minlength=1 << BITS)
+        kept = (seen >= min(least, max(2, len(rows) // 50))) & (seen <= len(rows) // 2)
         names = np.flatnonzero(kept)
         number = np.cumsum(kept) - 1
         good = kept[ids]
