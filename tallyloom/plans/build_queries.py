@@ -401,3 +401,48 @@ def mem_inject(spark, sf_dir):
 
     q = rt.last_user_text(_chat(spark, sf_dir)).select("ctx_id", F.concat(F.lit("[memory] "), "query").alias("text"))
     return q.withColumn("tokens", char_estimate(F.length("text")))
+
+
+# ---- models and whole builds ---------------------------------------------------------------------------------
+
+MODELS = ["gpt-4o-mini", " GPT-5.4-mini ", "gpt-5.4-x", "o1-preview", "o1-mini", "claude-sonnet-4-6", "claude-next", "gemini-2.0-pro", "my-mixtral", "mistral-medium-latest", "ollama/phi", "ollama/llama3.1", "gpt-4.1-nano", "gpt-4-0613", "unknown", "house-model"]
+_KNOWN = [128000, 400000, 1050000, 200000, 128000, 1000000, 200000, 2000000, 256000, 32000, 8192, 131072, 1000000, 8192, None, 5000]
+_WHO = ["openai"] * 5 + ["anthropic"] * 2 + ["google", "mistral", "mistral", "ollama", "ollama", "openai", "openai", None, "me"]
+_OUT = [None if n is None else 65536 if n >= 512000 else 16384 if n >= 32000 else min(4096, max(1024, n - 1)) for n in _KNOWN]
+_sql = lambda v: "NULL" if v is None else repr(v)
+
+
+@register("bud_models", "SELECT * FROM (VALUES " + ", ".join(f"({m!r}, {_sql(w)}, CAST({_sql(n)} AS BIGINT), CAST({_sql(o)} AS BIGINT))" for m, w, n, o in zip(MODELS, _WHO, _KNOWN, _OUT)) + ") t(model, provider, max_tokens, max_output)")
+def bud_models(spark, sf_dir):
+    from tallyloom.operators import models
+
+    df = spark.createDataFrame([(m, None) for m in MODELS], "model string, max_tokens bigint")
+    out = models.inferred(df, [("house-model", "me", 5000)])
+    return out.withColumn("max_output", F.when(F.col("max_tokens").isNotNull(), models.max_output(F.col("max_tokens")))).select("model", "provider", "max_tokens", "max_output")
+
+
+@register("bud_overrides", "SELECT DISTINCT conv_id AS ctx_id, CASE WHEN conv_id % 3 = 0 THEN 500 ELSE 8192 END AS max_tokens, 100 AS reserve, greatest(0, CASE WHEN conv_id % 3 = 0 THEN 500 ELSE 8192 END - 100) AS total FROM conversations")
+def bud_overrides(spark, sf_dir):
+    from tallyloom.operators import budget, models
+
+    c = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("ctx_id")).distinct().withColumns({"max_tokens": F.lit(8192), "reserve": F.lit(100)})
+    o = c.filter("ctx_id % 3 = 0").select("ctx_id", F.lit(500).alias("max_tokens"), F.lit(None).cast("int").alias("reserve"))
+    out = models.overridden(c, o, ["ctx_id"], ["max_tokens", "reserve"])
+    return out.withColumn("total", budget.total_budget(F.col("max_tokens"), F.col("reserve")))
+
+
+@register("build_chat", with_query(f"{ITEMS}, {_KEPT.format(n='k', b=300)}, {_compiled('m', 'k')}", "SELECT ctx_id, pos, role, text, slot, seq FROM m"))
+def build_chat(spark, sf_dir):
+    """A whole build: allocation, overflow, escalation and compilation."""
+    from tallyloom.plans.context import ContextPlan
+
+    plan = ContextPlan().tokens(600).slot("system", 100, budget_kind="fixed", fixed=300, position="before").slot("history", 50)
+    return plan.build(_chat(spark, sf_dir)).messages.select("ctx_id", "pos", "role", "text", "slot", "seq")
+
+
+@register("build_chat_meta", with_query(f"{ITEMS}, {_KEPT.format(n='k', b=300)}", "SELECT c.ctx_id, c.slot, 300::BIGINT AS budget, CAST(coalesce(sum(k.tokens), 0) AS BIGINT) AS used, count(k.seq) AS item_count FROM (SELECT DISTINCT ctx_id, s.slot FROM items, (VALUES ('system'), ('history')) s(slot)) c LEFT JOIN k ON k.ctx_id = c.ctx_id AND k.slot = c.slot GROUP BY ALL"))
+def build_chat_meta(spark, sf_dir):
+    from tallyloom.plans.context import ContextPlan
+
+    plan = ContextPlan().tokens(600).slot("system", 100, budget_kind="fixed", fixed=300, position="before").slot("history", 50)
+    return plan.build(_chat(spark, sf_dir)).meta.select("ctx_id", "slot", "budget", "used", "item_count")
