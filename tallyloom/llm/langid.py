@@ -16,6 +16,7 @@ empty table gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,13 +61,24 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, feature, n) of a task's texts; features from 2**BITS on stand for scripts."""
     scripts = {name: (1 << BITS) + i for i, name in enumerate(sorted({x for _, x in _SCRIPTS}))}
     totals: dict[str, np.ndarray] = {}
-    for batch in batches:
-        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+    words: dict[str, Counter] = {}
+
+    def add() -> None:
+        for lang, counts in words.items():
             total = totals.setdefault(lang, np.zeros((1 << BITS) + len(scripts), dtype=np.int64))
-            for word in text.lower().split():
+            for word, n in counts.items():
                 if letters := _letters(word):
-                    np.add.at(total, _features(letters), 1)
-                    total[scripts[script_of(letters[0])]] += 1
+                    for feature in _features(letters):
+                        total[feature] += n
+                    total[scripts[script_of(letters[0])]] += n
+        words.clear()
+
+    for batch in batches:
+        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words.setdefault(lang, Counter()).update(text.lower().split())
+            if sum(map(len, words.values())) > 500_000:
+                add()
+    add()
     for lang, total in sorted(totals.items()):
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], names=["lang", "feature", "n"])

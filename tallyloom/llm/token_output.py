@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyloom.llm.common import Workspace, plain
+from tallyloom.llm.common import Workspace, plain, released_shuffles
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -74,7 +74,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None,
     docs = plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.coalesce("text", F.lit("")))
     options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": page_bytes, "compression": "zstd"}
-    ordered.mapInArrow(encode, SCHEMA).write.mode("overwrite").options(**options).parquet(path)
+    with released_shuffles(docs.sparkSession):
+        ordered.mapInArrow(encode, SCHEMA).write.mode("overwrite").options(**options).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
