@@ -61,3 +61,26 @@ def candidates(items: DataFrame, last: int = 4, least: int = 24) -> DataFrame:
     tail = items.withColumn("__b", back).filter(F.col("__b") <= last).filter(F.col("role").isin("user", "assistant") & (F.length(F.btrim("text")) >= least))
     parts = tail.select("ctx_id", "seq", F.posexplode(F.split(F.btrim("text"), r"\.\s+|\n+")).alias("part", "sentence")).withColumn("sentence", F.btrim("sentence"))
     return parts.filter(F.length("sentence") >= least).withColumn("sentence", F.when(F.endswith("sentence", F.lit(".")), F.col("sentence")).otherwise(F.concat("sentence", F.lit("."))))
+
+
+def to_remember(found: DataFrame, memories: DataFrame, threshold: float = 0.92) -> DataFrame:
+    """Candidates (ctx_id, seq, part, sentence) that no memory (id, content) says already.
+
+    Candidates and memories meet through the words of a prefix filter; similarity is that of word sets.
+    """
+    from tallyloom.functions.text import ascii_words, set_similarity
+
+    a = found.select("ctx_id", "seq", "part", ascii_words(F.col("sentence")).alias("wa"))
+    b = memories.select("id", ascii_words(F.col("content")).alias("wb"))
+    words = a.select(F.explode("wa").alias("word")).unionByName(b.select(F.explode("wb").alias("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+
+    def prefix(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+        each = rows.select(*keys, F.size(column).alias("n"), F.explode(column).alias("word")).join(words, "word")
+        order = each.groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("order"))
+        size = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+        return order.select(*keys, F.explode(F.slice("order", F.lit(1), size)).alias("x")).select(*keys, "x.word")
+
+    keys = ["ctx_id", "seq", "part"]
+    pairs = prefix(a, keys, "wa").join(prefix(b, ["id"], "wb"), "word").select(*keys, "id").distinct()
+    said = pairs.join(a, keys).join(b, "id").filter(set_similarity(F.col("wa"), F.col("wb")) >= threshold).select(*keys).distinct()
+    return found.join(said, keys, "left_anti")

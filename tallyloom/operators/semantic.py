@@ -20,11 +20,11 @@ def with_threshold(items: DataFrame, fixed: float | None = None, k: float = 1.0)
     return items.withColumn("threshold", adaptive if fixed is None else F.greatest(F.lit(fixed), adaptive))
 
 
-def select(items: DataFrame, anchors: DataFrame, budget: int, fixed: float | None = None, k: float = 1.0) -> DataFrame:
+def select(items: DataFrame, anchors: DataFrame, budget: int | Column, fixed: float | None = None, k: float = 1.0) -> DataFrame:
     """Pinned items, and of the others that reach the threshold the most similar ones that still fit, each by its turn."""
     ready = with_threshold(scored(items, anchors), fixed, k)
     used = F.coalesce(F.sum(F.when(F.col("pinned"), F.col("tokens"))).over(W.partitionBy("ctx_id")), F.lit(0))
-    ready = ready.withColumn("room", (F.lit(budget) - used).cast("bigint")).withColumn("order", -F.col("sim"))
+    ready = ready.withColumn("room", ((F.lit(budget) if isinstance(budget, int) else budget) - used).cast("bigint")).withColumn("order", -F.col("sim"))
     fitting = greedy_fit(ready.filter((~F.col("pinned")) & (F.col("sim") >= F.col("threshold"))), F.col("room"), ["order", "created_at", "seq"], ["ctx_id"])
     return ready.filter("pinned").unionByName(fitting).drop("order", "room")
 

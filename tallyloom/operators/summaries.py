@@ -43,6 +43,11 @@ def zones(items: DataFrame, keep_last: int, score: Column | None = None) -> Data
     return out.withColumn("zone", F.when(F.col("__recent"), "recent").when(place <= F.floor(n / 2), "old").otherwise("middle")).drop("__recent")
 
 
+def stable(items: DataFrame) -> Column:
+    """Items that are summaries already and are never summarised again."""
+    return F.coalesce(F.size("summarizes") > 0, F.lit(False)) if "summarizes" in items.columns else F.lit(False)
+
+
 def next_fit(items: DataFrame, limit: int, group: list[str]) -> DataFrame:
     """``chunk``: items in order fill a chunk until the next one would go over ``limit``; a fold over a group's items."""
     entry = F.struct("seq", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"))

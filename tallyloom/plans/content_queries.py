@@ -348,3 +348,30 @@ def sum_importance(spark, sf_dir):
 @register("sum_last_resort", "SELECT doc_id, CASE WHEN length(text) <= 160 THEN text WHEN instr(reverse(text[1:160]), ' ') > 0 AND 160 - instr(reverse(text[1:160]), ' ') > 80 THEN text[1:160 - instr(reverse(text[1:160]), ' ')] || '…' ELSE text[1:160] || '…' END AS text FROM documents")
 def sum_last_resort(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", tx.last_resort(F.col("text"), 40).alias("text"))
+
+
+@register("tok_bpe_count")
+def tok_bpe_count(spark, sf_dir):
+    import public_tokenizers as P
+
+    from tallyloom.functions.tokenizers import count_tokens
+    from tallyloom.shipping import ship_package
+
+    ship_package(spark)
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", count_tokens(F.col("text"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).alias("tokens"))
+
+
+@register("tok_fallback_count", "SELECT conv_id, turn, CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) AS tokens FROM conversations")
+def tok_fallback_count(spark, sf_dir):
+    from tallyloom.functions.tokenizers import count_tokens
+
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", count_tokens(F.coalesce("text", F.lit("")), None).alias("tokens"))
+
+
+@register("mem_to_remember", with_query(ITEMS + r""", t AS (SELECT * FROM (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY ctx_id ORDER BY seq DESC) <= 4) WHERE role IN ('user', 'assistant') AND length(trim(text)) >= 24),
+s AS (SELECT ctx_id, seq, trim(unnest(regexp_split_to_array(trim(text), '\.\s+|\n+'))) AS x, CAST(unnest(range(len(regexp_split_to_array(trim(text), '\.\s+|\n+')))) AS INT) AS part FROM t), c AS (SELECT ctx_id, seq, part, CASE WHEN ends_with(x, '.') THEN x ELSE x || '.' END AS sentence FROM s WHERE length(x) >= 24),
+m AS (SELECT sentence AS content FROM c WHERE ctx_id % 3 = 0), w AS (SELECT DISTINCT """ + _WORDS.format("content") + " AS wb FROM m)", f"SELECT ctx_id, seq, part, sentence FROM c WHERE NOT EXISTS (SELECT 1 FROM (SELECT {_WORDS.format('c.sentence')} AS wa, wb FROM w) WHERE {_JACC} >= 0.92)"))
+def mem_to_remember(spark, sf_dir):
+    found = fc.candidates(chat_items(spark, sf_dir)).select("ctx_id", "seq", "part", "sentence")
+    known = found.filter("ctx_id % 3 = 0").select(F.concat_ws("-", "ctx_id", "seq", "part").alias("id"), F.col("sentence").alias("content"))
+    return fc.to_remember(found, known)

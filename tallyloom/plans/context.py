@@ -135,9 +135,7 @@ class ContextPlan:
                 raise ContextOverflow(f"slot {over['slot']!r} of context {over['ctx_id']} has {over['used']} of {over['budget']} tokens")
             return items
         if overflow == "semantic" and self.anchors is not None:
-            room = items.select("ctx_id", "budget").distinct()
-            out = sm.select(items, self.anchors, (1 << 53), k=1.0)
-            return ov.truncate(out.select(*items.columns), budget) if room is not None else out
+            return sm.select(items, self.anchors, budget).select(*items.columns)
         return ov.truncate(items, budget)  # truncate, and summarising slots once their summaries are in
 
     def build(self, items: DataFrame) -> Build:

@@ -1,4 +1,4 @@
-"""Queries over the reference's operators and their SQL, gathered from the plan modules."""
+"""Registered queries and their SQL, gathered from the plan modules."""
 
 from __future__ import annotations
 
