@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,7 +61,7 @@ class Bpe:
         self.shorter: dict[bytes, bytes | None] = {}
         self.fits: dict[tuple[bytes, bytes], bool] = {}
         self.whole: dict[bytes, bool] = {}
-        self.encode_text = PieceEncoder(self._piece)
+        self.encode_text = PieceEncoder(self._piece, lambda word: array("I", self.encode_bytes(word.encode("utf-8"))).tobytes())
 
     def _prefix(self, token: bytes) -> bytes | None:
         """The longest token that is a proper prefix of this one."""
@@ -119,7 +120,7 @@ class Bpe:
         ids: list[int] = []
         for match in self.pattern.findall(text):
             ids += self.encode_bytes(match.encode("utf-8"))
-        return np.array(ids, dtype="<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_text(text), dtype="<u4").tolist()

@@ -27,7 +27,7 @@ class _Pieces(dict):
         self.encode, self.prefix, self.strict, self.limit, self.old = encode, prefix, strict, limit, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if self.strict and (not piece or _EDGE.search(piece)):
+        if self.strict and (not piece or piece[0].isspace() or piece[-1].isspace()):
             raise Unclean
         found = self.old.get(piece)
         if found is None:
@@ -41,16 +41,21 @@ class _Pieces(dict):
 
 
 class PieceEncoder:
-    """Encodes texts to packed little-endian uint32 ids through ``encode_piece(str) -> bytes``, which must be exact."""
+    """Encodes texts to packed little-endian uint32 ids through ``encode_piece(str) -> bytes``, which must be exact.
 
-    def __init__(self, encode_piece: Callable[[str], bytes], limit: int = 400_000):
-        self.encode_piece = encode_piece
+    ``encode_word`` does the same for letters alone, after a space or not: these are one match of the pattern.
+    """
+
+    def __init__(self, encode_piece: Callable[[str], bytes], encode_word: Callable[[str], bytes] | None = None, limit: int = 400_000):
+        self.encode_piece, self.encode_word = encode_piece, encode_word or encode_piece
         self.head = _Pieces(self._inner, "", True, limit // 4)
         self.rest = _Pieces(self._inner, " ", True, limit)
         self.marks = _Pieces(encode_piece, "", False, 10_000)
 
     def _inner(self, piece: str) -> bytes:
         """A piece with its space: cut at newlines, and before one closing comma or full stop."""
+        if (piece[1:] if piece[0] == " " else piece).isalpha():
+            return self.encode_word(piece)
         if "\n" in piece:
             first, *others = _LINE.split(piece)
             if others:

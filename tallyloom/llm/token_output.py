@@ -13,6 +13,7 @@ other in order of their texts (null as empty). An empty table gives no rows. Ext
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,13 @@ _ENCODERS: dict = {}
 SCHEMA = "doc_id bigint, part int, part_start bigint, n_tokens bigint, token_ids array<int>"
 
 
+def _shown_bytes() -> dict[int, str]:
+    """The characters by which byte-level vocabularies show bytes: printable ones themselves, the others from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) if b in printable else chr(256 + rest.index(b)) for b in range(256)}
+
+
 def _encoder(path: str):
     """text -> packed ids by the tokenizers library, built once in each Python worker."""
     if path not in _ENCODERS:
@@ -41,9 +49,16 @@ def _encoder(path: str):
         special = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
 
         def whole(text: str) -> bytes:
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+        model, shown = tokenizer.model, _shown_bytes()
+
+        def word(text: str) -> bytes:
+            """Letters alone are one pre-token: the library's model takes it as it is."""
+            text = text.replace(" ", shown[32]) if text.isascii() else text.encode("utf-8").decode("latin-1").translate(shown)
+            return array("I", [t.id for t in model.tokenize(text)]).tobytes()
 
-        pieces = PieceEncoder(whole)
+        pieces = PieceEncoder(whole, word)
         _ENCODERS[path] = lambda text: whole(text) if any(x in text for x in special) else pieces(text)
     return _ENCODERS[path]
 
