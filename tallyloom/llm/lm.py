@@ -43,6 +43,20 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
+def _planes(*columns: np.ndarray) -> bytes:
+    """Columns of 32-bit numbers as planes of bytes, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes() for x in columns))
+
+
+def _from_planes(held: bytes, n: int) -> list[np.ndarray]:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(held), np.uint8).reshape(n, 4, -1)
+    return [np.ascontiguousarray(x.T).view("<u4").ravel() for x in planes]
+
+
 def _chunked(batches: Iterator[pa.RecordBatch], limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -55,8 +69,12 @@ def _chunked(batches: Iterator[pa.RecordBatch], limit: int = CHUNK) -> Iterator[
         vocab, tokens = np.unique(np.concatenate(parts), return_inverse=True)
         lengths = np.array([len(x) for x in parts], dtype=np.int64)
         train = np.repeat(~np.array(held), lengths)
+        order = np.argsort(-np.bincount(tokens, minlength=len(vocab)), kind="stable")  # small numbers for frequent words
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        vocab, tokens = vocab[order], place[tokens]
         counts = np.bincount(tokens[train], minlength=len(vocab))
-        row = [[(task << 32) + made], [ids], [held], [lengths.tobytes()], [tokens.astype(np.uint32).tobytes()], pa.array([vocab.view(np.int64)]), pa.array([counts])]
+        row = [[(task << 32) + made], [ids], [held], [lengths.tobytes()], [_planes(tokens.astype("<u4"))], pa.array([vocab.view(np.int64)]), pa.array([counts])]
         kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         ids, held, parts, size, made = [], [], [], 0, made + 1
         return pa.RecordBatch.from_arrays([pa.array(x, k) if isinstance(x, list) else x.cast(k) for x, k in zip(row, kinds)], names=["chunk", "doc_ids", "held", "lengths", "tokens", "vocab", "counts"])
@@ -84,7 +102,7 @@ def _row(table: pa.Table | pa.RecordBatch, i: int = 0) -> dict:
 
 def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Local word numbers, lengths of the documents, and the flags of their first tokens."""
-    tokens, lengths = np.frombuffer(row["tokens"], np.uint32).astype(np.int64), np.frombuffer(row["lengths"], np.int64)
+    tokens, lengths = _from_planes(row["tokens"], 1)[0].astype(np.int64), np.frombuffer(row["lengths"], np.int64)
     first = np.zeros(len(tokens), dtype=bool)
     first[np.cumsum(lengths) - lengths] = True
     return tokens, lengths, first
@@ -103,7 +121,7 @@ def _keys(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np
 
 def _with_ids(left: pa.Table, right: pa.Table) -> pa.Table:
     """A chunk with its words' ids and corpus counts."""
-    n = len(left.column("vocab")[0].values)
+    n = left["n_words"][0].as_py()
     ids, counts = np.zeros(n, np.int64), np.zeros(n, np.int64)
     at = right["pos"].to_numpy()
     ids[at], counts[at] = right["id"].to_numpy(), right["c"].to_numpy()
@@ -126,19 +144,12 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted bigram keys and counts: steps of the histories, words and counts in planes of bytes, compressed."""
-    import zstandard
-
-    history = np.diff(keys >> 32, prepend=0).astype("<u4")
-    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes() for x in (history, (keys & 0xFFFFFFFF).astype("<u4"), np.minimum(counts, 0xFFFFFFFF).astype("<u4"))]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    """Sorted bigram keys and counts: steps of the histories, words and counts."""
+    return _planes(np.diff(keys >> 32, prepend=0).astype("<u4"), (keys & 0xFFFFFFFF).astype("<u4"), np.minimum(counts, 0xFFFFFFFF).astype("<u4"))
 
 
 def _unpacked(held: bytes) -> tuple[np.ndarray, np.ndarray]:
-    import zstandard
-
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(held), np.uint8).reshape(3, 4, -1)
-    history, word, counts = (np.ascontiguousarray(x.T).view("<u4").ravel().astype(np.int64) for x in planes)
+    history, word, counts = (x.astype(np.int64) for x in _from_planes(held, 3))
     return (np.cumsum(history) << 32) | word, counts
 
 
@@ -264,7 +275,8 @@ def katz_scores(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     # every chunk learns its words' ids and counts
     asked = chunks.select("chunk", F.posexplode("vocab").alias("pos", "w"))
     told = asked.join(words, "w").select(F.col("chunk").alias("of"), "pos", "id", "c")
-    known = chunks.groupBy("chunk").cogroup(told.groupBy("of")).applyInArrow(_with_ids, "chunk bigint, doc_ids array<bigint>, held array<boolean>, lengths binary, tokens binary, ids array<bigint>, counts array<bigint>")
+    lean = chunks.withColumn("n_words", F.size("vocab")).drop("vocab", "counts")
+    known = lean.groupBy("chunk").cogroup(told.groupBy("of")).applyInArrow(_with_ids, "chunk bigint, doc_ids array<bigint>, held array<boolean>, lengths binary, tokens binary, ids array<bigint>, counts array<bigint>")
     known = work.write(known, "known")
     work.drop("chunks")
 
