@@ -47,10 +47,24 @@ def _letters(word: str) -> str:
     return word if word.isalpha() else "".join(c for c in word if c.isalpha())
 
 
+class _Grams(dict):
+    """n-gram -> hashed feature; the short n-grams of a language are few, so that most are found here."""
+
+    def __missing__(self, gram: str) -> int:
+        found = xxhash.xxh32_intdigest(gram) >> (32 - BITS)
+        if len(self) < 300_000:
+            self[gram] = found
+        return found
+
+
+_GRAMS = _Grams()
+
+
 def _features(letters: str) -> list[int]:
     held = f"^{letters}$"
-    grams = [held, *(held[i : i + n] for n in range(1, 5) for i in range(len(held) - n + 1))]
-    return [xxhash.xxh32_intdigest(g) >> (32 - BITS) for g in grams]
+    size = len(held)
+    grams = [held[i : i + n] for n in range(1, 5) for i in range(size - n + 1)]
+    return [xxhash.xxh32_intdigest(held) >> (32 - BITS), *map(_GRAMS.__getitem__, grams)]
 
 
 def held_out(doc_id: Column) -> Column:
