@@ -5,8 +5,9 @@ Texts are cut into words, plus one end token each. The tables, all partitioned a
 * chunks: up to ``CHUNK`` tokens of whole documents in a row, as numbers into the chunk's own sorted vocabulary;
 * words: id and training count of every word (Good-Turing discounts for counts up to ``TOP``; what they free
   is the probability of an unknown word);
-* pairs: for each chunk its distinct bigrams with their training count over the whole corpus. Bigrams seen ``CUTOFF`` times
-  or less count as unseen; the others are discounted by Good-Turing;
+* pairs: all distinct bigrams of the training texts with their count over the whole corpus, discounted by Good-Turing from counts
+  of ``CUTOFF`` + 1 = 1 on: a row for the one chunk that owns a bigram, and one for each chunk whose own count isn't the corpus count
+  (a chunk takes its own count where it isn't told another);
 * backoff: for each history its count and alpha, where alpha = (1 - sum of its seen bigrams' probabilities) / (1 - sum of their words' unigram
   probabilities); so each history's probabilities add up to 1 exactly.
 
@@ -31,7 +32,7 @@ from tallyloom.llm.common import Workspace, plain
 from tallyloom.llm.words import texts, word_hashes, words_of
 
 CHUNK, CHUNK_DOCS = 1_500_000, 20_000
-TOP, CUTOFF = 5, 1
+TOP, CUTOFF = 5, 0
 #: A history's discounts free this part of a count at least, else its denominator grows until they do.
 HALF = 0.5
 _END = word_hashes([b" end"])[0]
@@ -128,19 +129,29 @@ def _with_ids(left: pa.Table, right: pa.Table) -> pa.Table:
     return left.select(["chunk", "doc_ids", "held", "lengths", "tokens"]).append_column("ids", pa.array([ids])).append_column("counts", pa.array([counts]))
 
 
+def _own_pairs(row: dict, keys: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's distinct bigrams of known histories and words, sorted, and their counts in its training documents."""
+    train = np.repeat(~np.array(row["held"], dtype=bool), lengths)
+    good = (keys >= 0) & ((keys & 0xFFFFFFFF) > 0)
+    found, inverse = np.unique(keys[good], return_inverse=True)
+    return found, np.bincount(inverse, weights=train[good], minlength=len(found)).astype(np.int64)
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, key, n): a chunk's distinct bigrams of known histories, with their count in its training documents."""
+    """(chunk, key, n, c): a chunk's distinct bigrams, with their count in its training documents and their word's in the corpus."""
     for batch in batches:
         for i in range(batch.num_rows):
             row = _row(batch, i)
             keys, _, _, lengths, _ = _keys(row)
-            train = np.repeat(~np.array(row["held"], dtype=bool), lengths)
-            good = (keys >= 0) & ((keys & 0xFFFFFFFF) > 0)
-            found, inverse = np.unique(keys[good], return_inverse=True)
-            counts = np.bincount(inverse, weights=train[good], minlength=len(found)).astype(np.int32)
+            found, counts = _own_pairs(row, keys, lengths)
+            ids = np.asarray(row["ids"], dtype=np.int64)
+            order = np.argsort(ids)
+            c = np.asarray(row["counts"], dtype=np.int64)[order]
+            ids = ids[order]
             for at in range(0, len(found), 200_000):
                 part = found[at : at + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), row["chunk"])), pa.array(part), pa.array(counts[at : at + 200_000])], names=["chunk", "key", "n"])
+                of_word = c[np.searchsorted(ids, part & 0xFFFFFFFF)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), row["chunk"])), pa.array(part), pa.array(counts[at : at + 200_000]), pa.array(of_word)], names=["chunk", "key", "n", "c"])
 
 
 def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -154,7 +165,7 @@ def _unpacked(held: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(of, packed): for each chunk its bigrams in some batches of the pairs table."""
+    """(of, packed): for each chunk the bigrams it is told in some batches of the pairs table."""
     def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         chunk, key, total = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(3))
         order = np.lexsort((key, chunk))
@@ -220,9 +231,9 @@ def _scorer(unigrams: Unigrams, d_pairs: dict[int, float]):
         order = np.argsort(h_key)
         h_key, h_alpha, h_times = h_key[order], asked["alpha"].to_numpy()[order], asked["times"].to_numpy()[order]
         packed = [_unpacked(k) for k in right["packed"].to_pylist() if k is not None]
-        p_key = np.concatenate([k for k, _ in packed]) if packed else np.empty(0, np.int64)
-        order = np.argsort(p_key)
-        p_key, p_count = p_key[order], np.concatenate([n for _, n in packed])[order] if packed else p_key
+        p_key, p_count = _own_pairs(row, keys, lengths)
+        for told, n in packed:
+            p_count[np.searchsorted(p_key, told)] = n
         c = counts[tokens]
         uni = np.log10(unigrams.array(counts))[tokens]
         alpha, times = np.zeros(len(tokens)), np.ones(len(tokens))
@@ -233,7 +244,7 @@ def _scorer(unigrams: Unigrams, d_pairs: dict[int, float]):
         logp = alpha + uni
         if len(p_key):
             at = np.minimum(np.searchsorted(p_key, keys), len(p_key) - 1)
-            hit = (keys >= 0) & (p_key[at] == keys)
+            hit = (keys >= 0) & (p_key[at] == keys) & (p_count[at] > CUTOFF)
             n = p_count[at[hit]]
             d = np.ones(TOP + 2)
             for r, x in d_pairs.items():
@@ -282,25 +293,28 @@ def katz_scores(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     # pairs: one exchange by bigram gives the corpus counts and the answers for each chunk
     seen = Observation()
-    of_key = "OVER (PARTITION BY key"
-    counted = known.mapInArrow(_pairs, "chunk bigint, key bigint, n int").selectExpr("chunk", "key", f"sum(n) {of_key}) AS total", f"row_number() {of_key} ORDER BY chunk) = 1 AS owner")
+    of_key = "OVER (PARTITION BY key)"
+    counted = known.mapInArrow(_pairs, "chunk bigint, key bigint, n bigint, c bigint").selectExpr("chunk", "key", "n", "c", f"sum(n) {of_key} AS total", f"min(chunk) {of_key} = chunk AS owner")
     counted = counted.observe(seen, *[F.count_if(F.col("owner") & (F.col("total") == r)).alias(f"n{r}") for r in range(1, TOP + 2)])
-    pairs = work.write(counted.filter(F.col("total") > CUTOFF), "pairs")
+    told = F.col("total") != F.col("n")
+    counted = counted.filter((F.col("total") > CUTOFF) & (F.col("owner") | told))
+    pairs = work.write(counted.select(F.when(told, F.col("chunk")).alias("chunk"), "key", "total", F.when(F.col("owner"), F.col("c")).alias("c")), "pairs")
     d_pairs = discounts({r: seen.get[f"n{r}"] for r in range(1, TOP + 2)}, CUTOFF + 1)
 
     # backoff weights
     d = F.lit(1.0)
     for r, x in d_pairs.items():
         d = F.when(F.col("total") == r, F.lit(x)).otherwise(d)
-    own = pairs.filter("owner").select(F.shiftright("key", 32).alias("h"), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("id"), (d * F.col("total")).alias("mass"))
-    sums = own.join(words.select("id", unigrams.column(F.col("c")).alias("p")), "id").groupBy("h").agg(F.sum("mass").alias("mass"), F.sum("p").alias("p"))
+    own = pairs.filter("c is not null").select(F.shiftright("key", 32).alias("h"), (d * F.col("total")).alias("mass"), unigrams.column(F.col("c")).alias("p"))
+    sums = own.groupBy("h").agg(F.sum("mass").alias("mass"), F.sum("p").alias("p"))
     histories = words.select(F.col("id").alias("h"), F.col("c").alias("times")).unionByName(docs.sparkSession.createDataFrame([(0, starts)], "h bigint, times bigint"))
     times = F.greatest(F.col("times").cast("double"), F.col("mass") + HALF)
     alpha = F.log10((1 - F.col("mass") / times) / F.greatest(1 - F.col("p"), F.lit(1e-12)))
     backoff = work.write(sums.join(histories, "h").select("h", alpha.alias("alpha"), times.alias("times")), "backoff")
+    work.drop("named")
 
     asked = known.select("chunk", F.explode("ids").alias("h")).filter("h > 0").unionByName(known.select("chunk", F.lit(0).cast("bigint").alias("h")))
     weights = asked.join(backoff, "h").select(F.col("chunk").alias("of"), "h", "alpha", "times", F.lit(None).cast("binary").alias("packed"))
-    counts = pairs.select("chunk", "key", "total").mapInArrow(_answers, "of bigint, packed binary")
+    counts = pairs.filter("chunk is not null").select("chunk", "key", "total").mapInArrow(_answers, "of bigint, packed binary")
     answers = weights.unionByName(counts, allowMissingColumns=True)
     return known.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(_scorer(unigrams, d_pairs), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

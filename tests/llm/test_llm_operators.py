@@ -274,6 +274,41 @@ def test_lm(spark):
         assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-6 and abs(a[6] - b[6]) < 1e-6
 
 
+def test_lm_keeps_bigrams_seen_once(spark):
+    """Against an uncut model, whatever the operator's constants are; many chunks, so that counts differ from the corpus counts."""
+    rng = random.Random(6)
+    pairs = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(rng.randint(1, 30)))) for i in range(200)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    docs = {i: [*t.encode().split(), b" end"] for i, t in pairs}
+    uni, bi = Counter(), Counter()
+    for i, words in docs.items():
+        if not held(i):
+            uni.update(words)
+            bi.update(zip([None, *words[:-1]], words))
+    counts, starts = Counter(bi.values()), sum(not held(i) for i in docs)
+    d = {r: x for r in range(1, 6) if 0 < (x := (r + 1) * counts[r + 1] / (r * counts[r])) < 1}
+    assert 1 in d and counts[1] > len(bi) / 2
+    model = lm.Unigrams(sum(uni.values()), len(uni), Counter(uni.values()))
+    p1 = lambda w: float(model.array(np.array([uni[w]]))[0])
+    after = defaultdict(list)
+    for (h, w), n in bi.items():
+        after[h].append((w, d.get(n, 1.0) * n))
+
+    def p2(h, w):
+        if h not in after:
+            return p1(w)
+        mass = sum(m for _, m in after[h])
+        times = max(starts if h is None else uni[h], mass + 0.5)
+        if (h, w) in bi:
+            return dict(after[h])[w] / times
+        return (1 - mass / times) / (1 - sum(p1(x) for x, _ in after[h])) * p1(w)
+
+    got = {r.doc_id: r.score for r in lm.katz_scores(table(spark, pairs), chunk=150).collect()}
+    assert set(got) == set(docs)
+    for i, words in docs.items():
+        assert abs(got[i] - sum(math.log10(p2(h, w)) for h, w in zip([None, *words[:-1]], words))) < 1e-6
+
+
 def test_decontamination(spark):
     rng = random.Random(9)
     text = lambda n: " ".join("w" + str(rng.randint(0, 5000)) for _ in range(n))
