@@ -5,8 +5,9 @@ labels each character B/I of a kind or O. It is trained in numpy on labelled spa
 documents of the corpus with their base spans, and generated lines with variants that the patterns don't know
 (spelled-out e-mail signs, phone numbers without a plus, spaced-out IP addresses).
 
-Windows of ``WIDTH`` characters overlap by half and cover every stretch within ``AROUND`` characters of a digit or an @;
-other text can't hold these kinds. Each window is decoded by Viterbi; a span cut by a window's edge is left to the
+Windows of ``WIDTH`` characters overlap by half and cover every stretch within ``AROUND`` characters of a digit, an @, a
+spelled-out "at" or "[at]" or a "dot", and the words that a stretch's ends fall on as a whole (letters up to U+024F); a span that ``_plausible``
+lets pass holds one of these. Each window is decoded by Viterbi; a span cut by a window's edge is left to the
 next window. The spans of all windows of a text are then reconciled together: base spans stand, and of the others
 the set without overlaps of the highest total confidence is taken, by dynamic programming over the whole text.
 
@@ -41,6 +42,9 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
+#: What an e-mail address is spelled out with; each of them opens a window, like a digit or an @.
+_SPELLED = (" at ", "[at]", " dot ")
+_WORD = re.compile("[!-\u024f]*")
 
 
 def luhn(digits: str) -> bool:
@@ -78,24 +82,50 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def windows_of(text: str) -> list[tuple[int, int]]:
-    """Overlapping windows over all stretches around digits and @ signs."""
-    stretches: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        low, high = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if stretches and low <= stretches[-1][1]:
-            stretches[-1][1] = high
+def _found(text: str, sign: str) -> Iterator[tuple[int, int]]:
+    at = text.find(sign)
+    while at >= 0:
+        yield at, at + len(sign)
+        at = text.find(sign, at + 1)
+
+
+def stretches_of(text: str) -> list[tuple[int, int]]:
+    """The text around digits, @ signs and their spelled-out forms, without overlaps."""
+    out: list[list[int]] = []
+    for start, end in sorted([*(m.span() for m in _TRIGGER.finditer(text)), *(x for sign in _SPELLED for x in _found(text, sign))]):
+        low, high = max(0, start - AROUND), min(len(text), end + AROUND)
+        if out and low <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], high)
         else:
-            stretches.append([low, high])
-    out = []
-    for low, high in stretches:
-        at = low
-        while True:
-            out.append((at, min(at + WIDTH, high)))
-            if at + WIDTH >= high:
-                break
-            at += WIDTH // 2
-    return out
+            out.append([low, high])
+    whole: list[tuple[int, int]] = []
+    for low, high in out:  # whole words, and a character more, so that a span may end with its word
+        before = whole[-1][1] if whole else 0
+        if high <= before:
+            continue
+        while low > before and "!" <= text[low - 1] <= "\u024f":
+            low -= 1
+        low = max(before, low - 1)
+        high = min(len(text), _WORD.match(text, high).end() + 1)
+        if whole and low <= before:
+            whole[-1] = (whole[-1][0], high)
+        else:
+            whole.append((max(0, low), high))
+    return whole
+
+
+def _windows(low: int, high: int) -> Iterator[tuple[int, int]]:
+    at = low
+    while True:
+        yield at, min(at + WIDTH, high)
+        if at + WIDTH >= high:
+            return
+        at += WIDTH // 2
+
+
+def windows_of(text: str) -> list[tuple[int, int]]:
+    """Overlapping windows over all stretches."""
+    return [x for low, high in stretches_of(text) for x in _windows(low, high)]
 
 
 def encode(text: str) -> np.ndarray:
@@ -122,8 +152,12 @@ def generated(rng: np.random.Generator, n: int) -> list[tuple[str, list[tuple[st
     out = []
     for _ in range(n):
         name, host = f"{word()}.{number(2)}".encode("ascii", "ignore").decode(), f"mail{number(1)}"
+        if rng.random() < 0.5:  # without digits
+            name, host = (x.encode("ascii", "ignore").decode() or "jo" for x in (f"{word()}.{word()}" if rng.random() < 0.5 else word(), word()))
+        end = str(rng.choice(["example.com", "com", "org", "net"]))
+        spelled = end.replace(".", " dot ")
         made = [
-            ("email", f"{name}@{host}.example.com"), ("email", f"{name} at {host} dot example dot com"), ("email", f"{name}[at]{host}.example.com"), ("phone", f"+{number(1)} ({number(3)}) {number(3)}-{number(4)}"), ("phone", f"({number(3)}) {number(3)}-{number(4)}"),
+            ("email", f"{name}@{host}.{end}"), ("email", f"{name} at {host} dot {spelled}"), ("email", f"{name}[at]{host}.{end}"), ("", f"{word()} at {word()} {word()}"), ("", f"{word()} at {word()}. {word()}"), ("phone", f"+{number(1)} ({number(3)}) {number(3)}-{number(4)}"), ("phone", f"({number(3)}) {number(3)}-{number(4)}"),
             ("phone", f"+{number(2)} {number(3)} {number(3)} {number(3)}"), ("ip", ".".join(str(x) for x in rng.integers(0, 256, 4))), ("ip", " . ".join(str(x) for x in rng.integers(0, 256, 4))), ("card", " ".join(number(4) for _ in range(4))), ("card", "-".join(number(4) for _ in range(4))), ("card", number(16)),
             ("", number(int(rng.integers(1, 6)))), ("", f"{number(1)}.{number(2)}"), ("", f"v{number(1)}.{number(1)}"), ("", f"{number(4)}-{number(2)}-{number(2)}"), ("", f"@{word()}"),
         ]

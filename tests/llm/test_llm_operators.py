@@ -226,6 +226,23 @@ def test_pii_model_learns_and_reconciles():
     assert pii.reconciled([("email", 33, 50)], spans) == [("email", 33, 50), ("ip", 5, 12), ("phone", 12, 20)]
 
 
+def test_pii_model_reads_spelled_out_addresses_without_digits():
+    assert pii.windows_of("nothing to see here") == []
+    for value in ("jane at example dot com", "jane[at]example.com", "jo dot doe at mail dot some dot example dot com", f"jo.12 at {'long' * 20}.example.com"):
+        text = f"{'please write to ' * 9}{value} {'if you can ' * 9}"
+        at = text.index(value)
+        covered = {x for a, b in pii.windows_of(text) for x in range(a, b)}
+        assert covered >= set(range(at - 1, at + len(value) + 1))
+    rng = np.random.default_rng(7)
+    model = pii.BiLstmCrf(rng)
+    model.fit([(pii.encode(x), pii.tags_of(0, len(x), s)) for x, s in pii.generated(rng, 2000)], rng)
+    names, hosts = ("anna", "bob", "celia", "dora", "emil"), ("example", "garden", "loom", "brica", "halde")
+    values = [v for n in names for h in hosts for v in (f"{n} at {h} dot com", f"{n}[at]{h}.org")]
+    texts = [f"leb gan mori {v} fal denu mi" for v in values]
+    found = pii.model_spans(model, texts)
+    assert sum(("email", 13, 13 + len(v)) in {x[:3] for x in got} for v, got in zip(values, found)) > 0.6 * len(values)
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     pairs = [(i, " ".join(rng.choice(WORDS) for _ in range(60)) + (" nastyword foulterm" if i % 5 == 0 else "")) for i in range(400)]
