@@ -7,8 +7,8 @@ documents of the corpus with their base spans, and generated lines with variants
 
 Windows of ``WIDTH`` characters overlap by half and cover every stretch within ``AROUND`` characters of a digit, an @, a
 spelled-out "at" or "[at]" or a "dot", and the words that a stretch's ends fall on as a whole (letters up to U+024F); a span that ``_plausible``
-lets pass holds one of these. Each window is decoded by Viterbi; a span cut by a window's edge is left to the
-next window. The spans of all windows of a text are then reconciled together: base spans stand, and of the others
+lets pass holds one of these. Each window is decoded by Viterbi. Spans come from each window, and from the middles of a stretch's windows
+joined, for those that its windows cut; a span that a stretch's end cuts is decoded again in a wider stretch. The spans of all windows of a text are then reconciled together: base spans stand, and of the others
 the set without overlaps of the highest total confidence is taken, by dynamic programming over the whole text.
 
 Defined cases: a null or empty text has no spans. Rows are independent, so null ids, repeated rows and an empty table
@@ -304,28 +304,55 @@ def _plausible(kind: str, value: str) -> bool:
     return {"ip": 4 <= digits <= 12 and value.count(".") == 3, "card": 14 <= digits <= 19 and luhn("".join(_DIGIT.findall(value))), "phone": 7 <= digits <= 15}[kind]
 
 
+def _runs(tags: np.ndarray, sure: np.ndarray) -> Iterator[tuple[str, int, int, float]]:
+    """(kind, start, end, confidence) of each labelled run."""
+    kind = np.where(tags > 0, (tags - 1) // 2, -1)
+    before = np.concatenate([[-1], kind[:-1]])
+    starts = (kind >= 0) & ((tags % 2 == 1) | (kind != before))
+    for first in np.flatnonzero(starts):
+        rest = (kind[first + 1 :] != kind[first]) | starts[first + 1 :]
+        end = first + 1 + (int(rest.argmax()) if rest.any() else len(rest))
+        yield KINDS[kind[first]], int(first), end, float(sure[first:end].min())
+
+
 def model_spans(model: BiLstmCrf, texts: list[str]) -> list[list[tuple[str, int, int, float]]]:
     """Spans of each text by its windows, with confidences, before they are reconciled."""
-    held = [(i, a, b) for i, t in enumerate(texts) for a, b in windows_of(t)]
     out: list[dict] = [{} for _ in texts]
-    for at in range(0, len(held), 512):
-        part = held[at : at + 512]
-        tags, share = model.decode(pad([encode(texts[i][a:b]) for i, a, b in part]))
-        for (i, a, b), row, sure in zip(part, tags, share):
-            n, t = b - a, 0
-            while t < n:
-                if row[t] == 0:
-                    t += 1
-                    continue
-                kind, first = (row[t] - 1) // 2, t
-                t += 1
-                while t < n and row[t] == 2 + 2 * kind:
-                    t += 1
-                cut = (first == 0 and a > 0) or (t == n and b < len(texts[i]))
-                conf = float(sure[first:t].min())
-                if not cut and conf >= CONFIDENCE and _plausible(KINDS[kind], texts[i][a + first : a + t]):
-                    key = (KINDS[kind], a + first, a + t)
-                    out[i][key] = max(conf, out[i].get(key, 0.0))
+
+    def add(i: int, kind: str, a: int, b: int, conf: float) -> None:
+        if conf >= CONFIDENCE and _plausible(kind, texts[i][a:b]):
+            out[i][kind, a, b] = max(conf, out[i].get((kind, a, b), 0.0))
+
+    # stretches with the part that they were widened for, at first all of them
+    left = [(i, low, high, low, high) for i, t in enumerate(texts) for low, high in stretches_of(t)]
+    while left:
+        held = [(k, a, b) for k, (_, low, high, _, _) in enumerate(left) for a, b in _windows(low, high)]
+        wider = []
+        for at in range(0, len(held), 512):
+            part = held[at : at + 512]
+            decoded = model.decode(pad([encode(texts[left[k][0]][a:b]) for k, a, b in part]))
+            for (k, a, b), tags, sure in zip(part, *decoded):
+                i, low, high, p, q = left[k]
+                tags, sure = tags[: b - a], sure[: b - a]
+                if a == low:
+                    all_tags, all_sure = np.zeros(high - low, np.int64), np.ones(high - low)
+                middle = 0 if a == low else WIDTH // 4
+                all_tags[a - low + middle : b - low], all_sure[a - low + middle : b - low] = tags[middle:], sure[middle:]
+                if tags.any() and (a > low or b < high):
+                    for kind, x, y, conf in _runs(tags, sure):
+                        if not ((x == 0 and a > 0) or (y == b - a and b < len(texts[i]))):
+                            add(i, kind, a + x, a + y, conf)
+                if b == high and all_tags.any():  # the stretch as a whole: each window's middle
+                    for kind, x, y, conf in _runs(all_tags, all_sure):
+                        x, y = low + x, low + y
+                        if y <= p or x >= q:
+                            continue
+                        if not ((x == low and low > 0) or (y == high and high < len(texts[i]))):
+                            add(i, kind, x, y, conf)
+                        elif conf >= CONFIDENCE:  # more text than before on both sides, at least as much as the run is long
+                            more = WIDTH + y - x
+                            wider.append((i, max(0, x - more), min(len(texts[i]), y + more), x, y))
+        left = wider
     return [[(*k, c) for k, c in sorted(x.items())] for x in out]
 
 

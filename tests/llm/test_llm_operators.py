@@ -243,6 +243,23 @@ def test_pii_model_reads_spelled_out_addresses_without_digits():
     assert sum(("email", 13, 13 + len(v)) in {x[:3] for x in got} for v, got in zip(values, found)) > 0.6 * len(values)
 
 
+def test_pii_spans_longer_than_a_window_survive():
+    class Stub:
+        """Labels all that isn't a 7 as an e-mail address."""
+
+        def decode(self, chars):
+            tags = np.where((chars > 0) & (chars != ord("7") - 30), 2, 0)
+            tags[:, 1:][(tags[:, 1:] > 0) & (tags[:, :-1] == 0)] = 1
+            return tags, np.ones(chars.shape)
+
+    for value in ("name.12 at mail3 dot example dot com", f"name.12 at {'mail' * 30} dot example dot com"):
+        for before in range(100, 170):
+            text = "7" * before + value + "7" * 120
+            assert pii.model_spans(Stub(), ["", text])[1] == [("email", before, before + len(value), 1.0)]
+    lone = f"{'7' * 9}{'é漢' * 100} at {'漢é' * 100}.com7"
+    assert pii.model_spans(Stub(), [lone])[0] == [("email", 9, len(lone) - 1, 1.0)]
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     pairs = [(i, " ".join(rng.choice(WORDS) for _ in range(60)) + (" nastyword foulterm" if i % 5 == 0 else "")) for i in range(400)]
