@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+from tallyloom.llm.common import claim
+
 SHINGLE = 5
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
 
@@ -19,7 +21,7 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 class _Hashes(dict):
     """word -> 64-bit hash; two generations bound the memory."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit, self.old = limit, {}
 
@@ -34,6 +36,11 @@ class _Hashes(dict):
         return found
 
 
+    def let_go(self) -> None:
+        self.clear()
+        self.old = {}
+
+
 _HASHES = _Hashes()
 
 
@@ -78,6 +85,11 @@ def shingle_set(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(words_of(text)), size))
 
 
+def hashing() -> None:
+    """At a task's start, before words are hashed."""
+    claim("words", _HASHES.let_go)
+
+
 def texts(column: pa.Array) -> Iterator[bytes | None]:
     """A string column's values as UTF-8 bytes."""
     for x in pc.cast(column, pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()):
