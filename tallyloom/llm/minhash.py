@@ -6,31 +6,31 @@ smallest hash of a further round of bucketing, at last of a hash of their own; s
 the probability of their Jaccard similarity, short documents included, apart from chance collisions of
 compressed registers, which the estimate corrects.
 
-Rows with equal sets form one class; only classes are compared. ``BANDS`` bands of ``ROWS`` registers make buckets of
-candidates: at similarity 0.85 a pair misses all of them with probability 2e-6. In each bucket all members are
+Rows with equal sets form one class; only classes are compared. Bands of registers make buckets of candidates: ``BANDS`` bands
+of as many registers as leave a pair at the threshold a chance of 2e-6 to miss all of them (7 at a similarity of 0.85, 5 at 0.8). In each bucket all members are
 compared with its smallest id first. Then, in buckets that still hold several components, blocks of members are compared
 register by register (of a finer sketch), and pairs across components with a high estimate (five standard deviations below the threshold
 or more) are verified: twice each member's best pair alone, so that components grow fast, and at last all of them. Pairs inside a component, and only these, are left out: they can't change components. Every link
 is verified on full shingle sets (sorted 64-bit hashes).
 
-Defined cases: texts without words (null, empty, white space) are linked with nothing. Rows that repeat a doc_id are
-one node: what any of them is linked with, all are. A row without doc_id is compared
-like any other, but names a component only if no member has an id (component_id is then null). An empty
+Defined cases: texts without words (null, empty, white space) are linked with nothing. Each row is a document, also where it repeats a
+doc_id or has none; a component is named by the smallest doc_id of its rows, and has no name (null) if none has an id. An empty
 table gives an empty result. Extra columns are ignored by ``near_dedup`` and kept by ``drop_near_copies``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyloom.llm.common import Workspace, plain
+from tallyloom.llm.common import Workspace, blobs, matrix, plain, slices, split_join, unwrapped, wrapped
 from tallyloom.llm.components import components
-from tallyloom.llm.words import SHINGLE, mix, shingle_set, texts
+from tallyloom.llm.words import hashing, mix, shingle_set, texts
 
 BANDS, ROWS = 34, 7
 REGISTERS = BANDS * ROWS
@@ -41,8 +41,8 @@ MERGES = 2
 #: Registers of the finer sketch by which the members of mixed buckets are compared.
 FINE = 512
 BLOCK = 2048
-#: Ids from here on stand for rows without doc_id.
-NO_ID = 1 << 62
+#: A band's chance of agreement at the threshold, at least: (1 - AGREE) ** BANDS is 2e-6.
+AGREE = 0.3205
 _SEEDS = mix(np.arange(1, ROUNDS + max(REGISTERS, FINE) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -88,12 +88,17 @@ def estimate(equal, n_a, n_b, size: int = REGISTERS) -> np.ndarray:
     return np.clip((np.asarray(equal) / size - c) / (1 - c), 0, 1)
 
 
-def band_hashes(regs: np.ndarray) -> np.ndarray:
+def rows_of(percent: float) -> int:
+    """Registers of a band for a threshold, ``ROWS`` at most."""
+    return ROWS if percent >= 100 else max(1, min(ROWS, int(math.log(AGREE) / math.log(percent / 100))))
+
+
+def band_hashes(regs: np.ndarray, rows: int) -> np.ndarray:
     """One 64-bit key for each band; ``regs`` has a row for each document."""
-    part = regs.reshape(len(regs), BANDS, ROWS).astype(np.uint64)
+    part = regs[:, : BANDS * rows].reshape(len(regs), BANDS, rows).astype(np.uint64)
     out = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(1), part.shape[:2]).copy()
     with np.errstate(over="ignore"):
-        for i in range(ROWS):
+        for i in range(rows):
             out = mix((out << np.uint64(7)) ^ (out >> np.uint64(57)) ^ (part[:, :, i] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
     return out.view(np.int64)
 
@@ -102,45 +107,67 @@ def _slack(threshold: float, size: int = REGISTERS) -> float:
     return threshold - 5 * (threshold * (1 - threshold) / size) ** 0.5
 
 
+def _digest(shingles: np.ndarray) -> tuple[int, int]:
+    return tuple(np.frombuffer(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), dtype=np.int64).tolist())
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashing()
     for batch in batches:
         n, k1, k2, regs = [], [], [], []
         for text in texts(batch.column(1)):
             s = shingle_set(text)
             n.append(len(s))
-            digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64)
-            k1.append(int(digest[0]))
-            k2.append(int(digest[1]))
+            a, b = _digest(s)
+            k1.append(a)
+            k2.append(b)
             regs.append(registers(s).tobytes() if len(s) else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "n", "k1", "k2", "regs"])
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
-            keys = band_hashes(np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS))
-            ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], names=["bucket", "id"])
+def _bands(rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                keys = band_hashes(matrix(part.column(1), np.uint16, REGISTERS), rows)
+                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), BANDS)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], names=["bucket", "id"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k1, k2, shingles, fine) of each text with words."""
+    hashing()
+    for batch in batches:
+        for part in slices(batch, 0, 256, 1 << 20):
+            sets = [x for x in map(shingle_set, texts(part.column(0))) if len(x)]
+            keys = list(zip(*map(_digest, sets))) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.int64()), pa.array(keys[1], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([registers(x, FINE).tobytes() for x in sets], pa.binary())], names=["k1", "k2", "shingles", "fine"])
+
+
+def _named_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, shingles, fine) of texts that have the set of their class; a row's text may have changed its class by a repeated doc_id."""
+    hashing()
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            sets = [shingle_set(x) for x in texts(part.column(1))]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([registers(x, FINE).tobytes() for x in sets], pa.binary())], names=["id", "shingles", "fine"])
+        for part in slices(batch, 3, 256, 1 << 20):
+            out = []
+            for i, k1, k2, text in zip(*(part.column(c).to_pylist() for c in range(3)), texts(part.column(3))):
+                s = shingle_set(text)
+                if len(s) and _digest(s) == (k1, k2):
+                    out.append((i, s.tobytes(), registers(s, FINE).tobytes()))
+            columns = list(zip(*out)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["id", "shingles", "fine"])
 
 
 def _likely(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
+            a, b = (matrix(batch.column(c), np.uint16, REGISTERS) for c in ("ra", "rb"))
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            good = estimate((a == b).sum(1), na, nb) >= _slack(threshold)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], names=["a", "b"])
+            good = pa.array(estimate((a == b).sum(1), na, nb) >= _slack(threshold))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
 
     return run
 
@@ -148,19 +175,16 @@ def _likely(threshold: float):
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for x, y, sx, sy in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "sa", "sb"))):
-                u, v = np.frombuffer(sx, np.uint64), np.frombuffer(sy, np.uint64)
+            good = np.zeros(batch.num_rows, dtype=bool)
+            for i, (u, v) in enumerate(zip(blobs(batch.column("sa"), np.uint64), blobs(batch.column("sb"), np.uint64))):
                 both = len(np.intersect1d(u, v, assume_unique=True))
-                if 100 * both >= percent * (len(u) + len(v) - both):
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                good[i] = 100 * both >= percent * (len(u) + len(v) - both)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], names=["a", "b"])
 
     return run
 
 
-def _across(threshold: float, best: bool):
+def _across(threshold: float, rows: int, best: bool):
     """For two blocks of one bucket: pairs across components with a high estimate, each in the first band that it shares.
 
     With ``best``, only each member's pair of the highest estimate.
@@ -170,8 +194,7 @@ def _across(threshold: float, best: bool):
         left, right = (group.filter(pa.compute.equal(group["side"], s)) for s in (0, 1))
         same = right.num_rows == 0
         right = left if same else right
-        whole = lambda t, c, k: np.frombuffer(b"".join(t[c].to_pylist()), dtype=np.uint16).reshape(-1, k)
-        unpack = lambda t: (t["id"].to_numpy(), t["component"].to_numpy(), t["n"].to_numpy(), whole(t, "fine", FINE), band_hashes(whole(t, "regs", REGISTERS)))
+        unpack = lambda t: (t["id"].to_numpy(), t["component"].to_numpy(), t["n"].to_numpy(), matrix(t["fine"], np.uint16, FINE), band_hashes(matrix(t["regs"], np.uint16, REGISTERS), rows))
         ia, ca, na, ra, keys_a = unpack(left)
         ib, cb, nb, rb, keys_b = unpack(right)
         bucket, least = group["bucket"][0].as_py(), _slack(threshold, FINE)
@@ -212,41 +235,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """A row for each document (doc_id, n, k1, k2), and (k1, k2, component) for each class of equal sets."""
+    """A row for each document (doc_id, n, k1, k2), and one for each class of equal sets: k1, k2, size, first, name, keeper.
+
+    ``first`` is the class's smallest doc_id, ``name`` its component's, and ``keeper`` is true for one class of a component, one with that id.
+    """
     spark = docs.sparkSession
-    work = Workspace(spark, "minhash")
+    work, rows_a_band, threshold = Workspace(spark, "minhash"), rows_of(percent), percent / 100
     docs = plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     rows = work.write(docs.mapInArrow(_sketch, "doc_id bigint, n bigint, k1 bigint, k2 bigint, regs binary"), "rows")
-    node = F.coalesce("doc_id", F.lit(NO_ID) + F.pmod("k1", F.lit(NO_ID)))
-    classes = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min(node).alias("id"), F.any_value("n").alias("n"), F.any_value("regs").alias("regs"))
-    classes = work.write(classes, "classes")
+    classes = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size"), F.any_value("n").alias("n"), F.any_value("regs").alias("regs"))
+    classes = work.write(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
-    banded = classes.select("id", "regs").mapInArrow(_bands, "bucket bigint, id bigint")
-    many = banded.groupBy("bucket").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    banded = classes.select("id", "regs").mapInArrow(_bands(rows_a_band), "bucket bigint, id bigint")
+    many = banded.groupBy("bucket").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = work.write(banded.join(many, "bucket"), "members")
     regs = classes.select("id", "n", "regs")
     # stars: each member with its bucket's smallest id
-    stars = members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    stars = members.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     ends = lambda x, y: regs.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
-    threshold = percent / 100
     likely = stars.join(ends("b", "rb"), "b").join(ends("a", "ra"), "a").mapInArrow(_likely(threshold), "a bigint, b bigint")
     likely = work.write(likely, "likely")
 
-    # full sets of all classes that share a bucket
-    wanted = members.select("id").distinct().join(classes.select("id", "k1", "k2"), "id")
-    chosen = rows.withColumn("id", node).join(wanted, ["id", "k1", "k2"], "left_semi").select("doc_id", "id", "k1").distinct()
-    with_text = docs.alias("d").join(chosen.filter("doc_id is not null").alias("c"), "doc_id").select("id", "text")
-    sets = with_text.mapInArrow(_sets, "id bigint, shingles binary, fine binary")
-    sets = work.write(sets.unionByName(_sets_without_id(docs, chosen)), "sets")
-
+    sets = work.write(_class_sets(docs, members.select("id").distinct().join(classes.select("id", "first", "k1", "k2"), "id"), work), "sets")
     links = work.write(_verified(likely, sets, percent), "links-0")
     labels = components(links, work, "labels-0")
     tested = likely
     for step in range(1, MERGES + 2):
         left = work.write(_mixed(members, labels, regs.join(sets.select("id", "fine").dropDuplicates(["id"]), "id")), f"left-{step}")
         if left.isEmpty():
+            work.drop(f"left-{step}")
             break
-        pairs = left.groupBy("bucket", "i", "j").applyInArrow(_across(threshold, step <= MERGES), "a bigint, b bigint").distinct()
+        pairs = left.groupBy("bucket", "i", "j").applyInArrow(_across(threshold, rows_a_band, step <= MERGES), "a bigint, b bigint").distinct()
         pairs = work.write(pairs.join(tested, ["a", "b"], "left_anti"), f"pairs-{step}")
         work.drop(f"left-{step}")
         found = work.write(_verified(pairs, sets, percent), f"links-{step}")
@@ -254,59 +273,72 @@ def near_classes(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, DataFra
         if not found.isEmpty():
             links = links.unionByName(found)
             labels = components(links, work, f"labels-{step}")
-    return rows.select("doc_id", "n", "k1", "k2"), classes.join(labels, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
+    for name in ("sets", "members", "likely", "wanted", *(f"pairs-{step}" for step in range(1, MERGES + 2))):
+        work.drop(name)
 
+    best = F.min(F.struct(F.col("first").isNull().alias("nameless"), "first", "id"))
+    heads = labels.join(classes.select("id", "first"), "id").groupBy("component").agg(best.alias("head"))
+    heads = labels.join(heads, "component").select("id", F.col("head.first").alias("name"), F.col("head.id").alias("head"))
+    lone = F.col("head").isNull()
+    named = classes.join(heads, "id", "left").select("k1", "k2", "size", "first", F.when(lone, F.col("first")).otherwise(F.col("name")).alias("name"), (lone | (F.col("head") == F.col("id"))).alias("keeper"))
+    return rows.select("doc_id", "n", "k1", "k2"), work.write(named, "named")
 
-def _sets_without_id(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Sets of the classes whose rows all lack an id: their texts are found by the set's own digest."""
-    lone = chosen.filter("doc_id is null").select("id", "k1").distinct()
-    again = docs.filter("doc_id is null").mapInArrow(_keyed_sets, "k1 bigint, shingles binary, fine binary")
-    return again.join(lone, "k1").groupBy("id").agg(F.any_value("shingles").alias("shingles"), F.any_value("fine").alias("fine"))
 
+def _class_sets(docs: DataFrame, wanted: DataFrame, work: Workspace) -> DataFrame:
+    """(id, shingles, fine) of the wanted classes, from the text of the row with their first doc_id.
 
-def _keyed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [x for x in map(shingle_set, texts(batch.column(1))) if len(x)]
-        keys = [int(np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), dtype=np.int64)[0]) for x in sets]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([registers(x, FINE).tobytes() for x in sets], pa.binary())], names=["k1", "shingles", "fine"])
+    Classes whose first doc_id another class has too, or that have none, find their texts by the sets' own digests.
+    """
+    wanted = work.write(wanted, "wanted")
+    shared = wanted.filter("first is not null").groupBy("first").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("first")
+    alone = wanted.filter("first is not null").join(shared, "first", "left_anti").select("id", "k1", "k2", F.col("first").alias("doc_id"))
+    sets = docs.join(alone, "doc_id").select("id", "k1", "k2", "text").mapInArrow(_named_sets, "id bigint, shingles binary, fine binary")
+    odd = wanted.filter("first is null").unionByName(wanted.join(shared, "first", "left_semi").select(wanted.columns))
+    if odd.isEmpty():
+        return sets
+    again = docs.filter("doc_id is null").unionByName(docs.join(shared, F.col("doc_id") == F.col("first"), "left_semi"))
+    again = again.select("text").mapInArrow(_sets, "k1 bigint, k2 bigint, shingles binary, fine binary").dropDuplicates(["k1", "k2"])
+    return sets.unionByName(odd.join(again, ["k1", "k2"]).select("id", "shingles", "fine"))
 
 
 def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     rows, classes = near_classes(docs, percent)
-    named = F.when(F.col("component") < NO_ID, F.col("component"))
-    out = rows.filter("n > 0").join(classes, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), named.alias("component_id"))
+    out = split_join(rows.filter("n > 0"), classes.select("k1", "k2", "size", "name"), ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("name").alias("component_id"))
     alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest id; all columns.
+    """``docs`` with one row of each component, all columns; texts without words stay.
 
-    Of rows that repeat an id, or that have none, one of each text stays. Texts without words stay.
+    The row with the component's smallest doc_id stays; rows without id come last. Of several such rows, which
+    repeat an id or have none, one stays.
     """
-    work = Workspace(docs.sparkSession, "near")
+    work, names = Workspace(docs.sparkSession, "near"), docs.columns
     rows, classes = near_classes(docs, percent)
-    kept = rows.filter("n > 0").join(classes, ["k1", "k2"])
-    node = F.coalesce("doc_id", F.lit(NO_ID) + F.pmod("k1", F.lit(NO_ID)))
-    gone = work.write(kept.filter(node > F.col("component")).select("doc_id", "k1").distinct(), "gone")
-    names = docs.columns
-    with_id = docs.join(gone.filter("doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct(), F.col("doc_id") == F.col("__gone"), "left_anti") if "__gone" not in names else docs
-    lone = docs.filter("doc_id is null").limit(1)
-    if lone.isEmpty():
-        return with_id.select(*names)
-    # rows without an id go by their text's set
-    nameless = with_id.filter("doc_id is null").withColumn("__row", F.monotonically_increasing_id())
-    nameless = work.write(nameless, "nameless")
-    keys = nameless.select(F.col("__row"), "text").mapInArrow(_row_keys, "__row bigint, n bigint, k1 bigint")
-    lost = gone.filter("doc_id is null").select("k1")
-    first = keys.groupBy("k1").agg(F.min("__row").alias("first"))
-    bad = keys.join(lost, "k1", "left_semi").unionByName(keys.join(first, "k1").filter("n > 0 and __row > first").select("k1", "__row", "n")).select("__row").distinct()
-    return with_id.filter("doc_id is not null").select(*names).unionByName(nameless.join(bad, "__row", "left_anti").select(*names))
+    odd = work.write(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").select("doc_id"), "odd")
+    stays = F.col("keeper") & F.col("doc_id").eqNullSafe(F.col("first"))
+    gone = split_join(rows.filter("n > 0 and doc_id is not null"), classes, ["k1", "k2"]).filter(~stays).select("doc_id")
+    every = wrapped(docs)
+    if odd.isEmpty():
+        gone = work.write(gone, "gone")
+        return unwrapped(every.join(gone, F.col("row.doc_id") == F.col("doc_id"), "left_anti"), names)
+    gone = work.write(gone.unionByName(odd.filter("doc_id is not null")).distinct(), "gone")
+    clean = every.filter("row.doc_id is not null").join(gone, F.col("row.doc_id") == F.col("doc_id"), "left_anti")
+    # rows that share their id, or have none, are numbered and go by their sets
+    some = every.filter("row.doc_id is null").unionByName(every.join(odd, F.col("row.doc_id") == F.col("doc_id"), "left_semi"))
+    some = work.write(some.withColumn("place", F.monotonically_increasing_id()), "some")
+    keys = work.write(some.select("place", F.col("row.doc_id").cast("bigint").alias("doc_id"), F.col("row.text").alias("text")).mapInArrow(_row_keys, "place bigint, doc_id bigint, n bigint, k1 bigint, k2 bigint"), "keys")
+    first = keys.filter("n > 0").groupBy("k1", "k2", "doc_id").agg(F.min("place").alias("place"))
+    kept = first.join(classes.filter("keeper").select("k1", "k2", "first"), ["k1", "k2"]).filter(F.col("doc_id").eqNullSafe(F.col("first"))).select("place")
+    kept = kept.unionByName(keys.filter("n = 0").select("place"))
+    return unwrapped(clean.select("row").unionByName(some.join(kept, "place", "left_semi").select("row")), names)
 
 
 def _row_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashing()
     for batch in batches:
-        sets = [shingle_set(x) for x in texts(batch.column(1))]
-        keys = [int(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64)[0]) for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64())], names=["__row", "n", "k1"])
+        sets = [shingle_set(x) for x in texts(batch.column(2))]
+        keys = list(zip(*map(_digest, sets))) or [(), ()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[0], pa.int64()), pa.array(keys[1], pa.int64())], names=["place", "doc_id", "n", "k1", "k2"])
