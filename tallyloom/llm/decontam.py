@@ -5,7 +5,8 @@ An item's fingerprint is the 64-bit SimHash of its weighted word shingles (weigh
 document's windows have as many words as an item, for each item size, at every position where a window shares a shingle
 with some item; windows that share none have similarity 0. Fingerprints are cut into 8 blocks of 8 bits, and a
 block's index lists the items within 2 bits of each value. By the pigeonhole principle every item within a Hamming
-distance of 23 agrees with the window up to 2 bits in some block, so the index misses none. Candidates are verified by
+distance of 23 agrees with the window up to 2 bits in some block, so the index misses none. A block's index holds a bitmap of items for each
+value, so that a window's candidates are the union of 8 bitmaps: 8 words of work for 64 items. Candidates are verified by
 weighted Jaccard similarity of their shingles. At similarity 0.8 the expected distance is 9.7 (deviation 2.9), so
 that the radius leaves out less than one in 100,000.
 
@@ -27,8 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyloom.llm.common import Workspace, plain
-from tallyloom.llm.words import SHINGLE, folded_words, shingle_hashes, texts, word_hashes
+from tallyloom.llm.common import plain, slices
+from tallyloom.llm.words import SHINGLE, folded_words, hashing, shingle_hashes, texts, word_hashes
 
 RADIUS, BLOCKS, BLOCK_BITS = 23, 8, 8
 ITEMS, ITEM_BYTES = 20_000, 16 << 20
@@ -57,16 +58,22 @@ class _Sized:
         self.prints = np.array([simhash(h) for _, h in items], dtype=np.uint64)
         distance = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
         close = distance <= RADIUS // BLOCKS
-        self.index = [close[:, (self.prints >> np.uint64(BLOCK_BITS * b)).astype(np.uint8)] for b in range(BLOCKS)]
+        spare = np.zeros((256, -len(items) % 64), dtype=bool)
+        self.index = [np.packbits(np.hstack([close[:, (self.prints >> np.uint64(BLOCK_BITS * b)).astype(np.uint8)], spare]), axis=1, bitorder="little").view(np.uint64) for b in range(BLOCKS)]
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) numbers within the radius."""
-        near = np.zeros((len(prints), len(self.ids)), dtype=bool)
-        for b in range(BLOCKS):
-            near |= self.index[b][(prints >> np.uint64(BLOCK_BITS * b)).astype(np.uint8)]
-        at, item = np.nonzero(near)
-        good = np.bitwise_count(prints[at] ^ self.prints[item]) <= RADIUS
-        return at[good], item[good]
+        found = []
+        step = max(1, (1 << 21) // len(self.ids))  # windows at a time, for bounded memory
+        for start in range(0, len(prints), step):
+            part = prints[start : start + step]
+            near = np.zeros((len(part), self.index[0].shape[1]), dtype=np.uint64)
+            for b in range(BLOCKS):
+                near |= self.index[b][(part >> np.uint64(BLOCK_BITS * b)).astype(np.uint8)]
+            at, item = np.nonzero(np.unpackbits(near.view(np.uint8), axis=1, count=len(self.ids), bitorder="little"))
+            good = np.bitwise_count(part[at] ^ self.prints[item]) <= RADIUS
+            found.append((at[good] + start, item[good]))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
 
 
 class Items:
@@ -148,16 +155,21 @@ class Items:
             found[item] = (value, start, end)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, item_id, similarity, start_word, end_word: each document with each item that it holds, at the best window."""
-    docs = plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+def _blocks(benchmark: DataFrame) -> Iterator[DataFrame]:
+    """The items with a text, in blocks of a bounded size."""
     items = plain(benchmark, "item_id", "text").withColumn("item_id", F.col("item_id").cast("bigint")).filter("text is not null")
     n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-n // ITEMS), -(-size // ITEM_BYTES))
-    out = None
     for b in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        rows = docs.sparkSession.sparkContext.broadcast([(r[0], r[1].encode()) for r in part.collect()])
+        yield benchmark.sparkSession.sparkContext.broadcast([(r[0], r[1].encode()) for r in part.collect()])
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id, item_id, similarity, start_word, end_word: each document with each item that it holds, at the best window."""
+    docs = plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    out = None
+    for rows in _blocks(benchmark):
         found = docs.mapInArrow(_scanner(rows, threshold), _SCHEMA)
         out = found if out is None else out.unionByName(found)
     best = F.max_by(F.struct("similarity", "start_word", "end_word"), F.struct("similarity", -F.col("start_word")))
@@ -166,6 +178,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8)
 
 def _scanner(rows, threshold: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashing()
         items = Items(rows.value)
         for batch in batches:
             out = []
@@ -179,12 +192,20 @@ def _scanner(rows, threshold: float):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """``docs`` without the documents that hold an item; all columns. Rows without doc_id go by their text alone."""
-    work = Workspace(docs.sparkSession, "decontam")
-    found = contamination(docs.filter("doc_id is not null"), benchmark, threshold)
-    found = work.write(found.select("doc_id").distinct(), "found")
-    lone = docs.filter("doc_id is null").withColumn("__row", F.monotonically_increasing_id())
-    lone = work.write(lone, "lone") if "__row" not in docs.columns else lone
-    bad = contamination(lone.select(F.col("__row").alias("doc_id"), "text"), benchmark, threshold).select(F.col("doc_id").alias("__row")).distinct()
-    clean = lone.join(bad, "__row", "left_anti").select(*docs.columns)
-    return docs.filter("doc_id is not null").join(found, "doc_id", "left_anti").select(*docs.columns).unionByName(clean)
+    """``docs`` without the rows whose text holds an item; all columns. Each row goes by its own text, whatever its doc_id."""
+    at = docs.columns.index("text")
+    plain(docs, "text")
+
+    def keeper(rows):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashing()
+            items = Items(rows.value)
+            for batch in batches:
+                for part in slices(batch, at):
+                    yield part.filter(pa.array([not items.matches(x, threshold) for x in texts(part.column(at))], pa.bool_()))
+
+        return keep
+
+    for rows in _blocks(benchmark):
+        docs = docs.mapInArrow(keeper(rows), docs.schema)
+    return docs
