@@ -3,7 +3,7 @@
 Each batch of documents gives a sorted run of (line hash, number of documents). A new batch is merge-anti-joined
 with the runs: hashes that the runs already hold in ``min_docs`` documents are settled and are left out, the rest is
 added as the batch's own run. ``fanout`` runs of a level are compacted to one of the next, adding up the counts. A line
-is hot once its counts reach ``min_docs`` over all runs; hot lines lose every occurrence.
+is hot once its counts reach ``min_docs`` over all runs; hot lines lose every occurrence. Runs kept in a folder take further batches (``LineRuns.open``).
 
 Defined cases: a row is a document, also where its doc_id is null or repeated. A null or empty text is one empty line.
 Lines of white space alone have an empty key and always stay. An empty table gives an empty result. Extra columns are
@@ -12,9 +12,9 @@ ignored by ``line_dedup`` and kept by ``drop_hot_lines``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyloom.llm.common import ASCII_SPACE, Workspace, ascii_lower, fingerprint, plain
+from tallyloom.llm.common import ASCII_SPACE, Workspace, ascii_lower, fingerprint, plain, unwrapped, wrapped
 
 MIN_DOCS = 10
 
@@ -37,16 +37,31 @@ def hashes_of(text: Column) -> Column:
 
 
 class LineRuns:
-    """Levelled sorted runs of (h1, h2, n) in the shared folder."""
+    """Levelled sorted runs of (h1, h2, n) in the shared folder, and the settled hashes: those that have reached ``min_docs``.
+
+    A run's name tells its level and the numbers of the batches that it holds, so that runs in a folder can be opened again and take further
+    batches: runs that a compaction has replaced but not yet removed are left out.
+    """
 
     def __init__(self, work: Workspace, min_docs: int = MIN_DOCS, fanout: int = 4):
         self.work, self.min_docs, self.fanout, self.levels, self.made = work, min_docs, fanout, {}, 0
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, min_docs: int = MIN_DOCS, fanout: int = 4) -> LineRuns:
+        """The runs in a folder that all executors share, none if it is new."""
+        runs = cls(Workspace.at_path(spark, path), min_docs, fanout)
+        found = sorted((tuple(map(int, name.split("-")[1:])), name) for name in runs.work.names() if name.startswith("run-"))
+        for (level, first, last), name in found:
+            runs.made = max(runs.made, last + 1)
+            if not any(a <= first and last <= b and (a, b) != (first, last) for (_, a, b), _ in found):
+                runs.levels.setdefault(level, []).append(name)
+        return runs
+
     def _read(self, names: list[str]) -> DataFrame:
         return self.work.spark.read.schema("h1 BIGINT, h2 BIGINT, n BIGINT").parquet(*[self.work.at(x) for x in names])
 
-    def _write(self, rows: DataFrame) -> str:
-        name, self.made = f"run-{self.made}", self.made + 1
+    def _write(self, rows: DataFrame, level: int, first: int, last: int) -> str:
+        name = f"run-{level}-{first}-{last}"
         self.work.write(rows.sortWithinPartitions("h1", "h2"), name)
         return name
 
@@ -57,28 +72,45 @@ class LineRuns:
     def add(self, counts: DataFrame) -> None:
         """Anti-join a batch's (h1, h2, n) with the settled hashes of the runs and add the rest as a run."""
         if self.levels:
-            settled = self.merged().filter(F.col("n") >= self.min_docs).select("h1", "h2")
-            counts = counts.join(settled, ["h1", "h2"], "left_anti")
-        level, name = 0, self._write(counts)
+            counts = counts.join(self.hot(), ["h1", "h2"], "left_anti")
+        level, name = 0, self._write(counts, 0, self.made, self.made)
+        self.made += 1
         self.levels.setdefault(0, []).append(name)
         while len(self.levels[level]) >= self.fanout:
             full = self.levels.pop(level)
-            name = self._write(self._read(full).groupBy("h1", "h2").agg(F.sum("n").alias("n")))
+            ends = [tuple(map(int, x.split("-")[2:])) for x in full]
+            level += 1
+            name = self._write(self._read(full).groupBy("h1", "h2").agg(F.sum("n").alias("n")), level, min(a for a, _ in ends), max(b for _, b in ends))
             for old in full:
                 self.work.drop(old)
-            level += 1
             self.levels.setdefault(level, []).append(name)
 
+    def add_documents(self, docs: DataFrame) -> None:
+        """Add a further batch of documents (doc_id, text): a line counts once in each."""
+        lines = F.filter(hashes_of(F.col("text")), lambda x: x["full"])
+        each = plain(docs, "text").select(F.explode(F.array_distinct(F.transform(lines, lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"))))).alias("x"))
+        self.add(each.groupBy("x.h1", "x.h2").agg(F.count(F.lit(1)).alias("n")))
+
     def hot(self) -> DataFrame:
         return self.merged().filter(F.col("n") >= self.min_docs).select("h1", "h2")
 
 
-def _hot_lines(docs: DataFrame, work: Workspace, min_docs: int, batches: int) -> tuple[DataFrame, DataFrame]:
-    """Hot hashes, and (doc_id, t1, t2, hits): positions of hot lines for each document that has some."""
+def _logged(docs: DataFrame) -> DataFrame:
+    """doc_id, two hashes of the text, and the hashes and positions of its lines with a key: a row for each document, without the texts."""
     t1, t2 = fingerprint(F.coalesce("text", F.lit("")))
-    each = docs.select("doc_id", t1.alias("t1"), t2.alias("t2"), F.filter(F.transform(hashes_of(F.col("text")), lambda x, i: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"), x["full"].alias("full"), i.alias("pos"))), lambda x: x["full"]).alias("lines"))
-    # a row of the log is a document; hashes of its lines, without the texts
-    log = work.write(each, "log")
+    placed = F.transform(hashes_of(F.col("text")), lambda x, i: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"), x["full"].alias("full"), i.alias("pos")))
+    return docs.select("doc_id", t1.alias("t1"), t2.alias("t2"), F.filter(placed, lambda x: x["full"]).alias("lines"))
+
+
+def _hits(log: DataFrame, hot: DataFrame) -> DataFrame:
+    """(doc_id, t1, t2, hits): positions of hot lines for each document that has some."""
+    lines = log.select("doc_id", "t1", "t2", F.explode("lines").alias("x")).select("doc_id", "t1", "t2", "x.h1", "x.h2", "x.pos")
+    return lines.join(hot, ["h1", "h2"], "left_semi").groupBy("doc_id", "t1", "t2").agg(F.sort_array(F.collect_set("pos")).alias("hits"))
+
+
+def _hot_lines(docs: DataFrame, work: Workspace, min_docs: int, batches: int) -> tuple[DataFrame, DataFrame]:
+    """Hot hashes, and the documents' hits."""
+    log = work.write(_logged(docs), "log")
     counted = log.select(F.pmod(F.xxhash64("doc_id", "t1"), F.lit(batches)).cast("int").alias("batch"), F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"))))).alias("x"))
     counted = counted.groupBy("batch", "x.h1", "x.h2").agg(F.count(F.lit(1)).alias("n"))
     counted = work.write(counted, "batches")
@@ -87,20 +119,18 @@ def _hot_lines(docs: DataFrame, work: Workspace, min_docs: int, batches: int) ->
         runs.add(counted.filter(F.col("batch") == b).select("h1", "h2", "n"))
     work.drop("batches")
     hot = work.write(runs.hot(), "hot")
-    lines = log.select("doc_id", "t1", "t2", F.explode("lines").alias("x")).select("doc_id", "t1", "t2", "x.h1", "x.h2", "x.pos")
-    hits = lines.join(hot, ["h1", "h2"], "left_semi").groupBy("doc_id", "t1", "t2").agg(F.sort_array(F.collect_set("pos")).alias("hits"))
-    return hot, hits
+    return hot, _hits(log, hot)
 
 
 def _without(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """``docs`` with lines, kept_lines, hits; the text crosses the network once, keyed by id and its own hashes."""
-    t1, t2 = fingerprint(F.coalesce("text", F.lit("")))
-    keyed = docs.withColumns({"__t1": t1, "__t2": t2})
-    hits = hits.select(F.col("doc_id").alias("__id"), F.col("t1").alias("__h1"), F.col("t2").alias("__h2"), F.col("hits").alias("__hits"))
-    out = keyed.join(hits, keyed["doc_id"].eqNullSafe(hits["__id"]) & (keyed["__t1"] == hits["__h1"]) & (keyed["__t2"] == hits["__h2"]), "left")
-    lines = lines_of(F.col("text"))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__hits")), lambda i: F.get(lines, i))
-    return out.withColumns({"__kept": F.when(F.col("__hits").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n")), "__n": F.size(lines).cast("bigint"), "__dropped": F.coalesce(F.size("__hits"), F.lit(0)).cast("bigint")})
+    """row (a struct of all columns of ``docs``), kept_lines, n, dropped; the text crosses the network once, keyed by id and its own hashes."""
+    text = F.coalesce("row.text", F.lit(""))
+    t1, t2 = fingerprint(text)
+    keyed = wrapped(docs).withColumns({"u1": t1, "u2": t2})
+    out = keyed.join(hits, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("u1") == F.col("t1")) & (F.col("u2") == F.col("t2")), "left")
+    lines = lines_of(F.col("row.text"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("hits")), lambda i: F.get(lines, i))
+    return out.select("row", F.when(F.col("hits").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("kept"), F.size(lines).cast("bigint").alias("n"), F.coalesce(F.size("hits"), F.lit(0)).cast("bigint").alias("dropped"))
 
 
 def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = 4) -> DataFrame:
@@ -109,13 +139,23 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = 4) -> D
     docs = plain(docs, "doc_id", "text")
     _, hits = _hot_lines(docs, work, min_docs, batches)
     out = _without(docs, hits)
-    return out.select("doc_id", F.col("__n").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2(F.col("__kept"), 256).alias("kept_sha256"), F.col("__kept").alias("kept_text"))
+    return out.select("row.doc_id", F.col("n").alias("n_lines"), F.col("dropped").alias("n_dropped"), F.sha2(F.col("kept"), 256).alias("kept_sha256"), F.col("kept").alias("kept_text"))
 
 
 def drop_hot_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = 4) -> DataFrame:
     """``docs`` with hot lines taken out of ``text``; all other columns as they are. A null text stays null."""
     work = Workspace(docs.sparkSession, "lines")
-    names = docs.columns
     _, hits = _hot_lines(plain(docs, "doc_id", "text"), work, min_docs, batches)
-    out = _without(docs, hits).withColumn("text", F.when(F.col("__dropped") > 0, F.col("__kept")).otherwise(F.col("text")))
-    return out.select(*names)
+    return _cleaned(docs, hits)
+
+
+def drop_lines_of(docs: DataFrame, runs: LineRuns) -> DataFrame:
+    """``docs`` without the lines that are hot in ``runs``, such as those of earlier batches; all other columns as they are."""
+    work = Workspace(docs.sparkSession, "lines")
+    log = work.write(_logged(plain(docs, "doc_id", "text")), "log")
+    return _cleaned(docs, _hits(log, work.write(runs.hot(), "hot")))
+
+
+def _cleaned(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    text = F.when(F.col("dropped") > 0, F.col("kept")).otherwise(F.col("row.text"))
+    return unwrapped(_without(docs, hits).withColumn("row", F.col("row").withField("text", text)), docs.columns)
