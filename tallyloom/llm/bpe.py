@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallyloom.llm.common import plain
+from tallyloom.llm.common import claim, plain, slices
 
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -61,7 +61,16 @@ class Bpe:
         self.shorter: dict[bytes, bytes | None] = {}
         self.fits: dict[tuple[bytes, bytes], bool] = {}
         self.whole: dict[bytes, bool] = {}
-        self.encode_text = PieceEncoder(self._piece, lambda word: array("I", self.encode_bytes(word.encode("utf-8"))).tobytes())
+        # the cuts of PieceEncoder hold for the public pattern; with another, a text is encoded as a whole
+        self.pieces = PieceEncoder(self._piece, lambda word: array("I", self.encode_bytes(word.encode("utf-8"))).tobytes()) if pattern == public_pattern() else None
+        self.encode_text = self.pieces or self._piece
+
+    def let_go(self) -> None:
+        """Forget what the encoding of earlier texts has left."""
+        for known in (self.shorter, self.fits, self.whole):
+            known.clear()
+        if self.pieces:
+            self.pieces.let_go()
 
     def _prefix(self, token: bytes) -> bytes | None:
         """The longest token that is a proper prefix of this one."""
@@ -77,7 +86,7 @@ class Bpe:
     def _compatible(self, a: bytes, b: bytes) -> bool:
         known = self.fits.get((a, b))
         if known is None:
-            if len(self.fits) > 500_000:
+            if len(self.fits) > 200_000:
                 self.fits.clear()
             known = self.fits[a, b] = merge_by_rank(a + b, self.ranks) == [a, b]
         return known
@@ -129,6 +138,12 @@ class Bpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def public_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 _CODECS: dict[tuple[str, str], Bpe] = {}
 
 
@@ -136,6 +151,7 @@ def codec(path: str, pattern: str) -> Bpe:
     """The codec of a rank file, built once in each Python worker."""
     if (path, pattern) not in _CODECS:
         _CODECS[path, pattern] = Bpe(load_ranks(path), pattern)
+    claim("bpe", _CODECS[path, pattern].let_go)
     return _CODECS[path, pattern]
 
 
@@ -147,16 +163,17 @@ def encode_table(docs: DataFrame, ranks_path: str | None = None, pattern: str |
     if digests_only:
         def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bpe = codec(path, pattern)
-            for batch in batches:
+            for part in (part for batch in batches for part in slices(batch, 1)):
                 rows = []
-                for text in batch.column(1):
+                for text in part.column(1):
                     packed = bpe.encode_text(text.as_py() or "")
                     ids = np.frombuffer(packed, dtype="<u4").tolist()
                     rows.append((len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
                 n, ids_sha, text_sha = zip(*rows) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-        return plain(docs, "doc_id", "text").mapInArrow(digests, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+        docs = plain(docs, "doc_id", "text")
+        return docs.mapInArrow(digests, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
     keep = [c for c in docs.columns if c not in ("token_ids", "decoded")]
     docs = plain(docs, *keep)
@@ -168,8 +185,7 @@ def encode_table(docs: DataFrame, ranks_path: str | None = None, pattern: str |
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):  # ids of a few texts at a time
-                part = batch.slice(start, 256)
+            for part in slices(batch, at, 256, 1 << 20):  # ids of a few texts at a time
                 packed = [bpe.encode_text(x.as_py() or "") for x in part.column(at)]
                 ids = [np.frombuffer(x, dtype="<u4") for x in packed]
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)

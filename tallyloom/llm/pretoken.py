@@ -46,12 +46,17 @@ class PieceEncoder:
     ``encode_word`` does the same for letters alone, after a space or not: these are one match of the pattern.
     """
 
-    def __init__(self, encode_piece: Callable[[str], bytes], encode_word: Callable[[str], bytes] | None = None, limit: int = 400_000):
+    def __init__(self, encode_piece: Callable[[str], bytes], encode_word: Callable[[str], bytes] | None = None, limit: int = 250_000):
         self.encode_piece, self.encode_word = encode_piece, encode_word or encode_piece
         self.head = _Pieces(self._inner, "", True, limit // 4)
         self.rest = _Pieces(self._inner, " ", True, limit)
         self.marks = _Pieces(encode_piece, "", False, 10_000)
 
+    def let_go(self) -> None:
+        for pieces in (self.head, self.rest, self.marks):
+            pieces.clear()
+            pieces.old = {}
+
     def _inner(self, piece: str) -> bytes:
         """A piece with its space: cut at newlines, and before one closing comma or full stop."""
         if (piece[1:] if piece[0] == " " else piece).isalpha():
