@@ -4,14 +4,16 @@
 document: doc_id, the file part, the ids before it in that part, its number of ids, and the ids as a list column.
 Ids are dictionary-encoded where a chunk's dictionary stays small, else plain; counts and offsets are delta-encoded (Parquet format v2). Row groups
 and pages have set sizes; Parquet's page indexes let a reader take single documents or only the metadata columns.
-``read_tokens`` adds up the parts' totals (one row a file) and returns global starts.
+``read_tokens`` adds up the parts' totals (one row a file) and returns global starts; ``read_metadata`` does so without reading any ids, and
+``read_documents`` reads the row groups and pages alone that may hold the wanted documents.
 
 Defined cases: a null or empty text has the end id alone. Null doc_ids come first, rows that repeat a doc_id follow each
-other in order of their texts (null as empty). An empty table gives no rows. Extra columns are ignored.
+other in order of their texts (null as empty); ranges are cut by doc_id and the first ``PREFIX`` characters, so that rows of one id may spread over tasks. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -20,10 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyloom.llm.common import Workspace, plain, released_shuffles
+from tallyloom.llm.common import Workspace, claim, plain, released_shuffles, slices
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
+PREFIX = 32
 _ENCODERS: dict = {}
 SCHEMA = "doc_id bigint, part int, part_start bigint, n_tokens bigint, token_ids array<int>"
 
@@ -58,9 +61,13 @@ def _encoder(path: str):
             text = text.replace(" ", shown[32]) if text.isascii() else text.encode("utf-8").decode("latin-1").translate(shown)
             return array("I", [t.id for t in model.tokenize(text)]).tobytes()
 
+        # the cuts of PieceEncoder hold for byte-level splitting as in the public pattern; other tokenizers take texts as a whole
+        split = json.loads(tokenizer.to_str())
+        byte_level = (split.get("pre_tokenizer") or {}) | {"trim_offsets": None} == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": None, "use_regex": True} and not split.get("normalizer")
         pieces = PieceEncoder(whole, word)
-        _ENCODERS[path] = lambda text: whole(text) if any(x in text for x in special) else pieces(text)
-    return _ENCODERS[path]
+        _ENCODERS[path] = (lambda text: whole(text) if any(x in text for x in special) else pieces(text)) if byte_level else whole, pieces.let_go
+    claim("tokens", _ENCODERS[path][1])
+    return _ENCODERS[path][0]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int = END_ID, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10) -> None:
@@ -76,8 +83,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None,
         part, before, run = context.partitionId() if context else 0, 0, _encoder(tokenizer_path)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
+            for piece in slices(batch, 1, 512, 2 << 20):
                 packed = [run(x.as_py() or "") + end for x in piece.column(1)]
                 counts = np.array([len(x) // 4 for x in packed], dtype=np.int64)
                 ends = np.cumsum(counts)
@@ -87,22 +93,37 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None,
                 before += int(ends[-1])
 
     docs = plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.coalesce("text", F.lit("")))
+    text = F.coalesce("text", F.lit(""))
+    ordered = docs.repartitionByRange("doc_id", F.substring(text, 1, PREFIX)).sortWithinPartitions("doc_id", text)
     options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": page_bytes, "compression": "zstd"}
     with released_shuffles(docs.sparkSession):
         ordered.mapInArrow(encode, SCHEMA).write.mode("overwrite").options(**options).parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, token_ids; starts count the ids of all documents before."""
-    rows = spark.read.schema(SCHEMA).parquet(path)
-    totals = sorted(rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())  # a row for each file
+def _starts(spark: SparkSession, path: str) -> DataFrame:
+    """(part, offset): the ids of all parts before; a row for each file."""
+    totals = sorted(spark.read.schema(SCHEMA).parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
     offsets, before = [], 0
     for part, n in totals:
         offsets.append((part, before))
         before += n
-    starts = F.broadcast(spark.createDataFrame(offsets or [(0, 0)], "part int, offset bigint"))
-    return rows.join(starts, "part").select("doc_id", (F.col("offset") + F.col("part_start")).alias("start"), "n_tokens", "token_ids")
+    return F.broadcast(spark.createDataFrame(offsets or [(0, 0)], "part int, offset bigint"))
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, token_ids; starts count the ids of all documents before."""
+    start = (F.col("offset") + F.col("part_start")).alias("start")
+    return spark.read.schema(SCHEMA).parquet(path).join(_starts(spark, path), "part").select("doc_id", start, "n_tokens", "token_ids")
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens; the column of ids isn't read."""
+    return read_tokens(spark, path).drop("token_ids")
+
+
+def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """The rows of ``read_tokens`` of some documents; their ids are pushed down to the files' statistics, as the files are in order of doc_id."""
+    return read_tokens(spark, path).filter(F.col("doc_id").isin([int(x) for x in doc_ids]))
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
