@@ -5,15 +5,16 @@ Texts are cut into words, plus one end token each. The tables, all partitioned a
 * chunks: up to ``CHUNK`` tokens of whole documents in a row, as numbers into the chunk's own sorted vocabulary;
 * words: id and training count of every word (Good-Turing discounts for counts up to ``TOP``; what they free
   is the probability of an unknown word);
-* pairs: all distinct bigrams of the training texts with their count over the whole corpus, discounted by Good-Turing from counts
-  of ``CUTOFF`` + 1 = 1 on: a row for the one chunk that owns a bigram, and one for each chunk whose own count isn't the corpus count
-  (a chunk takes its own count where it isn't told another);
+* pairs: the distinct bigrams of the training texts with their counts over the whole corpus. Each chunk deals its distinct bigrams by a hash to
+  buckets of about ``BUCKET`` tokens and packs each bucket's share into one row, so that one exchange of packed rows brings a bigram's counts together; a
+  bucket packs its totals, and for each chunk the totals that aren't the chunk's own counts (a chunk takes its own count where it isn't told another).
+  Good-Turing discounts them from a count of 1 on;
 * backoff: for each history its count and alpha, where alpha = (1 - sum of its seen bigrams' probabilities) / (1 - sum of their words' unigram
   probabilities); so each history's probabilities add up to 1 exactly.
 
 A token's probability is its bigram's, if seen, else alpha(history) times its unigram probability; a history never seen
 backs off with alpha 1. Chunks ask for their distinct words and bigrams only, and the answers return
-to the chunk, so that no row is made for each token. Words are told apart by 64-bit hashes.
+to the chunk, so that no row is made for each token. Words are told apart by 64-bit hashes; more than 2**31 distinct words raise an error.
 
 Defined cases: a null or empty text is the end token alone. A null doc_id is hashed as an empty string, and so
 is held out. Rows are documents, also where they repeat a doc_id. Without training rows every word is unknown, with
@@ -26,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyloom.llm.common import Workspace, plain
-from tallyloom.llm.words import texts, word_hashes, words_of
+from tallyloom.llm.words import hashing, mix, texts, word_hashes, words_of
 
 CHUNK, CHUNK_DOCS = 1_500_000, 20_000
-TOP, CUTOFF = 5, 0
+BUCKET = 1_000_000
+TOP = 5
 #: A history's discounts free this part of a count at least, else its denominator grows until they do.
 HALF = 0.5
 _END = word_hashes([b" end"])[0]
@@ -64,6 +66,7 @@ def _chunked(batches: Iterator[pa.RecordBatch], limit: int = CHUNK) -> Iterator[
     context = TaskContext.get()
     task, made = context.partitionId() if context else 0, 0
     ids, held, parts, size = [], [], [], 0
+    hashing()
 
     def flush() -> pa.RecordBatch:
         nonlocal ids, held, parts, size, made
@@ -137,53 +140,84 @@ def _own_pairs(row: dict, keys: np.ndarray, lengths: np.ndarray) -> tuple[np.nda
     return found, np.bincount(inverse, weights=train[good], minlength=len(found)).astype(np.int64)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, key, n, c): a chunk's distinct bigrams, with their count in its training documents and their word's in the corpus."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = _row(batch, i)
-            keys, _, _, lengths, _ = _keys(row)
-            found, counts = _own_pairs(row, keys, lengths)
-            ids = np.asarray(row["ids"], dtype=np.int64)
-            order = np.argsort(ids)
-            c = np.asarray(row["counts"], dtype=np.int64)[order]
-            ids = ids[order]
-            for at in range(0, len(found), 200_000):
-                part = found[at : at + 200_000]
-                of_word = c[np.searchsorted(ids, part & 0xFFFFFFFF)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), row["chunk"])), pa.array(part), pa.array(counts[at : at + 200_000]), pa.array(of_word)], names=["chunk", "key", "n", "c"])
-
-
-def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted bigram keys and counts: steps of the histories, words and counts."""
-    return _planes(np.diff(keys >> 32, prepend=0).astype("<u4"), (keys & 0xFFFFFFFF).astype("<u4"), np.minimum(counts, 0xFFFFFFFF).astype("<u4"))
-
-
-def _unpacked(held: bytes) -> tuple[np.ndarray, np.ndarray]:
-    history, word, counts = (x.astype(np.int64) for x in _from_planes(held, 3))
-    return (np.cumsum(history) << 32) | word, counts
-
-
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(of, packed): for each chunk the bigrams it is told in some batches of the pairs table."""
-    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        chunk, key, total = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(3))
-        order = np.lexsort((key, chunk))
-        chunk, key, total = chunk[order], key[order], total[order]
-        cuts = np.r_[np.flatnonzero(np.diff(chunk, prepend=chunk[0] - 1)), len(chunk)]
-        rows = [(int(chunk[a]), _packed(key[a:b], total[a:b])) for a, b in zip(cuts, cuts[1:])]
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["of", "packed"])
-
-    held, n = [], 0
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            n += batch.num_rows
-        if n >= 2_000_000:
-            yield packed(held)
-            held, n = [], 0
-    if held:
-        yield packed(held)
+def _packed(keys: np.ndarray, *counts: np.ndarray) -> bytes:
+    """Sorted bigram keys and columns of counts: steps of the histories, words, and each count's lower and upper half."""
+    halves = [h.astype("<u4") for c in counts for h in (c & 0xFFFFFFFF, c >> 32)]
+    return _planes(np.diff(keys >> 32, prepend=0).astype("<u4"), (keys & 0xFFFFFFFF).astype("<u4"), *halves)
+
+
+def _unpacked(held: bytes, counts: int = 1) -> list[np.ndarray]:
+    """The keys and their columns of counts."""
+    history, word, *halves = (x.astype(np.int64) for x in _from_planes(held, 2 + 2 * counts))
+    return [(np.cumsum(history) << 32) | word, *((high << 32) | low for low, high in zip(halves[::2], halves[1::2]))]
+
+
+def _dealt(buckets: int):
+    """(bucket, chunk, packed): a chunk's distinct bigrams by bucket, with their count in its training documents and their word's in the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = _row(batch, i)
+                keys, _, _, lengths, _ = _keys(row)
+                found, counts = _own_pairs(row, keys, lengths)
+                ids = np.asarray(row["ids"], dtype=np.int64)
+                order = np.argsort(ids)
+                of_word = np.asarray(row["counts"], dtype=np.int64)[order][np.searchsorted(ids[order], found & 0xFFFFFFFF)]
+                with np.errstate(over="ignore"):
+                    bucket = (mix(found.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")  # keys stay sorted within a bucket
+                found, counts, of_word, bucket = found[order], counts[order], of_word[order], bucket[order]
+                cuts = np.r_[np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)]
+                for at in range(0, len(cuts) - 1, 256):
+                    ends = list(zip(cuts[at:-1], cuts[at + 1 :]))[:256]
+                    packed = [_packed(found[a:b], counts[a:b], of_word[a:b]) for a, b in ends]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in ends], pa.int64()), pa.array([row["chunk"]] * len(ends), pa.int64()), pa.array(packed, pa.binary())], names=["bucket", "chunk", "packed"])
+
+    return run
+
+
+def _totals(group: pa.Table) -> pa.Table:
+    """A bucket's bigrams over all chunks: packed totals and word counts, with counts of counts, and for each chunk the totals that it is told."""
+    chunks = group["chunk"].to_pylist()
+    parts = [_unpacked(x.as_py(), 2) for x in group["packed"]]
+    keys, n, c = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    order = np.argsort(keys, kind="stable")
+    starts = np.flatnonzero(np.diff(keys[order], prepend=-1))
+    every, total, c = keys[order][starts], np.add.reduceat(n[order], starts), c[order][starts]
+    seen = total > 0  # the others occur in held-out documents alone
+    rows = [(False, None, _packed(every[seen], total[seen], c[seen]), *np.bincount(np.minimum(total, TOP + 2), minlength=TOP + 3)[1 : TOP + 2].tolist())]
+    for chunk, (own, m, _) in zip(chunks, parts):
+        all_n = total[np.searchsorted(every, own)]
+        if (told := all_n != m).any():
+            rows.append((True, chunk, _packed(own[told], all_n[told]), *[None] * (TOP + 1)))
+    columns = list(zip(*rows))
+    names = ["told", "chunk", "packed", *(f"n{r}" for r in range(1, TOP + 2))]
+    kinds = {"told": pa.bool_(), "packed": pa.binary()}
+    return pa.table([pa.array(x, kinds.get(k, pa.int64())) for k, x in zip(names, columns)], names=names)
+
+
+_TOTALS = "told boolean, chunk bigint, packed binary, " + ", ".join(f"n{r} bigint" for r in range(1, TOP + 2))
+
+
+def _masses(unigrams: Unigrams, d_pairs: dict[int, float]):
+    """(h, mass, p): for each history of a bucket the sums of its bigrams' discounted counts and of their words' probabilities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in batch.column(0):
+                keys, total, c = _unpacked(packed.as_py(), 2)
+                if len(keys):
+                    starts = np.flatnonzero(np.diff(keys >> 32, prepend=-1))
+                    mass, p = _table(d_pairs)[np.minimum(total, TOP + 1)] * total, unigrams.array(c)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[starts] >> 32), pa.array(np.add.reduceat(mass, starts)), pa.array(np.add.reduceat(p, starts))], names=["h", "mass", "p"])
+
+    return run
+
+
+def _table(d: dict[int, float]) -> np.ndarray:
+    """Discounts by count, TOP + 1 for all above."""
+    return np.array([1.0, *(d.get(r, 1.0) for r in range(1, TOP + 2))])
 
 
 def discounts(count_of: dict[int, int], low: int, top: int = TOP) -> dict[int, float]:
@@ -208,17 +242,8 @@ class Unigrams:
             self.scale = 1.0
         self.unknown = freed / total if total else 1.0
 
-    def column(self, c: Column) -> Column:
-        d = F.lit(1.0)
-        for r, x in self.d.items():
-            d = F.when(c == r, F.lit(x)).otherwise(d)
-        return F.lit(self.scale) * d * c / float(max(1, self.total))
-
     def array(self, c: np.ndarray) -> np.ndarray:
-        d = np.ones(TOP + 2)
-        for r, x in self.d.items():
-            d[r] = x
-        return np.where(c > 0, self.scale * d[np.minimum(c, TOP + 1)] * c / max(1, self.total), self.unknown)
+        return np.where(c > 0, self.scale * _table(self.d)[np.minimum(c, TOP + 1)] * c / max(1, self.total), self.unknown)
 
 
 def _scorer(unigrams: Unigrams, d_pairs: dict[int, float]):
@@ -229,7 +254,7 @@ def _scorer(unigrams: Unigrams, d_pairs: dict[int, float]):
         asked = right.filter(pa.compute.is_valid(right["h"]))
         h_key = asked["h"].to_numpy()
         order = np.argsort(h_key)
-        h_key, h_alpha, h_times = h_key[order], asked["alpha"].to_numpy()[order], asked["times"].to_numpy()[order]
+        h_key, h_alpha, h_times = h_key[order], asked["alpha"].to_numpy()[order], asked["times"].cast(pa.float64()).to_numpy()[order]
         packed = [_unpacked(k) for k in right["packed"].to_pylist() if k is not None]
         p_key, p_count = _own_pairs(row, keys, lengths)
         for told, n in packed:
@@ -241,15 +266,13 @@ def _scorer(unigrams: Unigrams, d_pairs: dict[int, float]):
             at = np.minimum(np.searchsorted(h_key, history), len(h_key) - 1)
             hit = (history >= 0) & (h_key[at] == history)
             alpha[hit], times[hit] = h_alpha[at[hit]], h_times[at[hit]]
+            times = np.where(np.isnan(times), np.concatenate([[0], c[:-1]]), times)
         logp = alpha + uni
         if len(p_key):
             at = np.minimum(np.searchsorted(p_key, keys), len(p_key) - 1)
-            hit = (keys >= 0) & (p_key[at] == keys) & (p_count[at] > CUTOFF)
+            hit = (keys >= 0) & (p_key[at] == keys) & (p_count[at] > 0)
             n = p_count[at[hit]]
-            d = np.ones(TOP + 2)
-            for r, x in d_pairs.items():
-                d[r] = x
-            logp[hit] = np.log10(d[np.minimum(n, TOP + 1).astype(np.int64)] * n / times[hit])
+            logp[hit] = np.log10(_table(d_pairs)[np.minimum(n, TOP + 1)] * n / times[hit])
         ends = np.cumsum(lengths) - lengths
         base = np.log10((counts + 0.1) / (unigrams.total + 0.1 * (unigrams.distinct + 1)))[tokens]
         total = len(lengths)
@@ -291,30 +314,25 @@ def katz_scores(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     known = work.write(known, "known")
     work.drop("chunks")
 
-    # pairs: one exchange by bigram gives the corpus counts and the answers for each chunk
-    seen = Observation()
-    of_key = "OVER (PARTITION BY key)"
-    counted = known.mapInArrow(_pairs, "chunk bigint, key bigint, n bigint, c bigint").selectExpr("chunk", "key", "n", "c", f"sum(n) {of_key} AS total", f"min(chunk) {of_key} = chunk AS owner")
-    counted = counted.observe(seen, *[F.count_if(F.col("owner") & (F.col("total") == r)).alias(f"n{r}") for r in range(1, TOP + 2)])
-    told = F.col("total") != F.col("n")
-    counted = counted.filter((F.col("total") > CUTOFF) & (F.col("owner") | told))
-    pairs = work.write(counted.select(F.when(told, F.col("chunk")).alias("chunk"), "key", "total", F.when(F.col("owner"), F.col("c")).alias("c")), "pairs")
-    d_pairs = discounts({r: seen.get[f"n{r}"] for r in range(1, TOP + 2)}, CUTOFF + 1)
+    # pairs: one exchange of packed bigrams gives the corpus counts and the answers for each chunk
+    dealt = known.mapInArrow(_dealt(max(1, -(-stats[0] // min(BUCKET, chunk)))), "bucket bigint, chunk bigint, packed binary")
+    pairs = work.write(dealt.groupBy("bucket").applyInArrow(_totals, _TOTALS), "pairs", ["told"])
+    count_of = pairs.agg(*[F.coalesce(F.sum(f"n{r}"), F.lit(0)) for r in range(1, TOP + 2)]).first()
+    d_pairs = discounts(dict(enumerate(count_of, 1)), 1)
 
     # backoff weights
-    d = F.lit(1.0)
-    for r, x in d_pairs.items():
-        d = F.when(F.col("total") == r, F.lit(x)).otherwise(d)
-    own = pairs.filter("c is not null").select(F.shiftright("key", 32).alias("h"), (d * F.col("total")).alias("mass"), unigrams.column(F.col("c")).alias("p"))
+    own = pairs.filter("not told").select("packed").mapInArrow(_masses(unigrams, d_pairs), "h bigint, mass double, p double")
     sums = own.groupBy("h").agg(F.sum("mass").alias("mass"), F.sum("p").alias("p"))
     histories = words.select(F.col("id").alias("h"), F.col("c").alias("times")).unionByName(docs.sparkSession.createDataFrame([(0, starts)], "h bigint, times bigint"))
     times = F.greatest(F.col("times").cast("double"), F.col("mass") + HALF)
     alpha = F.log10((1 - F.col("mass") / times) / F.greatest(1 - F.col("p"), F.lit(1e-12)))
-    backoff = work.write(sums.join(histories, "h").select("h", alpha.alias("alpha"), times.alias("times")), "backoff")
+    # a chunk knows its words' counts: a history's denominator is told only where it is another number
+    backoff = work.write(sums.join(histories, "h").select("h", alpha.alias("alpha"), F.when((F.col("h") == 0) | (times != F.col("times")), times).alias("times")), "backoff")
     work.drop("named")
+    work.drop("pairs/told=false")
 
     asked = known.select("chunk", F.explode("ids").alias("h")).filter("h > 0").unionByName(known.select("chunk", F.lit(0).cast("bigint").alias("h")))
     weights = asked.join(backoff, "h").select(F.col("chunk").alias("of"), "h", "alpha", "times", F.lit(None).cast("binary").alias("packed"))
-    counts = pairs.filter("chunk is not null").select("chunk", "key", "total").mapInArrow(_answers, "of bigint, packed binary")
+    counts = pairs.filter("told").select(F.col("chunk").alias("of"), "packed")
     answers = weights.unionByName(counts, allowMissingColumns=True)
     return known.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(_scorer(unigrams, d_pairs), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
