@@ -46,7 +46,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.languages(table(spark, sf_dir, "documents"))
+    return langid.languages(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
