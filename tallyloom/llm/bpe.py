@@ -86,7 +86,7 @@ class Bpe:
     def _compatible(self, a: bytes, b: bytes) -> bool:
         known = self.fits.get((a, b))
         if known is None:
-            if len(self.fits) > 200_000:
+            if len(self.fits) > 300_000:
                 self.fits.clear()
             known = self.fits[a, b] = merge_by_rank(a + b, self.ranks) == [a, b]
         return known

@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
 class _Scorer:
     """Scores texts by a fitted model; weights of words are looked up once. It stays with the broadcast model from task to task."""
 
-    LIMIT = 150_000
+    LIMIT = 250_000
 
     def __init__(self, fitted: Ordinal):
         self.fitted, self.known = fitted, {}
