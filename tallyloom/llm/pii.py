@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyloom.llm.common import plain
+from tallyloom.llm.common import plain, slices
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, WINDOWS_A_DOC = 1500, 8
@@ -394,8 +394,10 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> BiLstmCrf:
     rows = plain(docs, "doc_id", "text").filter(F.col("text").rlike("[0-9@]"))
-    chosen = F.broadcast(rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # at most ``sample`` ids
-    got = sorted((bytes(r.chars), bytes(r.tags)) for r in rows.join(chosen, "doc_id").mapInArrow(_labelled, "chars binary, tags binary").collect())
+    chosen = F.broadcast(rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    # of rows that repeat an id, one text; so at most ``sample`` texts give windows to the driver
+    texts = rows.join(chosen, "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select("doc_id", "x.text")
+    got = sorted((bytes(r.chars), bytes(r.tags)) for r in texts.mapInArrow(_labelled, "chars binary, tags binary").collect())
     rng = np.random.default_rng(7)
     real = [(np.frombuffer(c, np.int8).astype(np.int64), np.frombuffer(t, np.int8).astype(np.int64)) for c, t in sorted(set(got))]
     made = [(encode(x), tags_of(0, len(x), s)) for x, s in generated(rng, 2000)]
@@ -411,8 +413,7 @@ def personal_data(docs: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                part = batch.slice(start, 2048)
+            for part in slices(batch, 1, 2048):
                 texts = [x or "" for x in part.column(1).to_pylist()]
                 base = [base_spans(x) for x in texts]
                 extra = model_spans(model.value, texts)
