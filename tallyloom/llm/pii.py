@@ -32,7 +32,7 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, WINDOWS_A_DOC = 1500, 8
 WIDTH, AROUND = 64, 24
 EMBED, HIDDEN, STEPS, BATCH = 12, 24, 400, 48
-CONFIDENCE = 0.9
+CONFIDENCE = 0.6
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
