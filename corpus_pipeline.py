@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents.
+
+Defined cases: each row is a document, also where its doc_id is null or repeated. A null or empty text is not toxic, has no line, copy or
+passage to lose, and has no ids. Of near copies the row of the smallest doc_id stays, rows without one come last, and of rows that tie
+one stays. Extra columns of any name pass through. Empty tables give an empty result.
 """
 
 from __future__ import annotations
