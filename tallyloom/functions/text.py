@@ -48,6 +48,10 @@ def unregister_pack(tag: str) -> None:
     _PACKS.pop(tag.lower(), None)
 
 
+def known_packs() -> list[str]:
+    return sorted(_PACKS)
+
+
 def resolve_pack(tag: str | None) -> LanguagePack:
     """The pack of a tag, of its base language, or English."""
     tag = (tag or "en").lower()
@@ -107,9 +111,12 @@ def comparable(text: Column) -> Column:
 
 
 def set_similarity(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two arrays of distinct values; both empty 1, one empty 0."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / F.greatest(F.lit(1), F.size(a) + F.size(b) - both))
+    """Jaccard similarity of two arrays of distinct values; both empty 1, one empty 0. Each array is evaluated once."""
+    def of(x: Column) -> Column:
+        both = F.size(F.array_intersect(x["a"], x["b"]))
+        return F.when((F.size(x["a"]) == 0) & (F.size(x["b"]) == 0), F.lit(1.0)).otherwise(both / F.greatest(F.lit(1), F.size(x["a"]) + F.size(x["b"]) - both))
+
+    return F.get(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), of), 0)
 
 
 def word_similarity(a: Column, b: Column) -> Column:
@@ -196,15 +203,17 @@ def last_resort(text: Column, tokens: int) -> Column:
 
 def importance(text: Column) -> Column:
     """A structural score: names, numbers, code, links, lists, key-value pairs, length and diversity."""
+    # Patterns and weights that results depend on.
     text = F.coalesce(text, F.lit(""))
     size = F.length(text)
     names = F.regexp_count(text, F.lit(rf"{_B}[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+{_E}"))
     fact = text.rlike(rf"{_B}\d{{2,}}{_E}") | text.rlike(rf"{_B}\d{{1,2}}[-/]\d{{1,2}}[-/]\d{{2,4}}{_E}") | text.rlike("\"[^\"]{2,}\"|'[^']{2,}'")
     code, link = text.rlike("```[\\s\\S]*?```|`[^`\n]+`"), text.rlike(r"https?://\S+")
     listed = text.rlike(r"(?m)^[\t ]*[-*•]\s|^\s*\d+[.)]\s")
-    pairs = F.regexp_count(text, F.lit(r"\w+\s*[:=]\s*\S+"))
+    # from a word's first letter on and without going back into it, which finds the same pairs
+    pairs = F.regexp_count(text, F.lit(r"(?<!\w)\w++\s*+[:=]\s*\S+"))
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: F.length(w) > 1)
-    diverse = (F.size(words) >= 5) & (F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1)) >= 0.7)
+    diverse = F.get(F.transform(F.array(words), lambda w: (F.size(w) >= 5) & (F.size(F.array_distinct(w)) / F.greatest(F.size(w), F.lit(1)) >= 0.7)), 0)
     flag = lambda c, x: F.when(c, F.lit(x)).otherwise(F.lit(0.0))
     score = names / F.greatest(size, F.lit(1)) * 200 + flag(fact, 1.0) + flag(code, 1.5) + flag(link, 1.0) + flag(listed, 1.0) + F.least(F.lit(1.5), pairs * 0.5) + F.least(F.lit(1.0), size / 500) + flag(diverse, 0.5)
     return F.when(size == 0, F.lit(0.0)).otherwise(score)

@@ -42,3 +42,32 @@ def count_tokens(text: Column, path: str | None, pattern: str = "", normalise: b
         return pd.Series([len(encoding.encode_ordinary(t)) for t in plain], dtype="int64")
 
     return run(text)
+
+
+def encode_tokens(text: Column, path: str, pattern: str, normalise: bool = False) -> Column:
+    """Token ids of a text; ``normalise`` applies NFKC first, as one family of tokenizers does."""
+
+    @pandas_udf("array<int>")
+    def run(texts: pd.Series) -> pd.Series:
+        import unicodedata
+
+        encoding = _encoding(path, pattern)
+        return pd.Series([encoding.encode_ordinary(unicodedata.normalize("NFKC", t) if normalise else t) for t in texts.fillna("")])
+
+    return run(text)
+
+
+def decode_tokens(ids: Column, path: str, pattern: str) -> Column:
+    """The text of token ids; bytes that aren't UTF-8 become replacement characters."""
+
+    @pandas_udf("string")
+    def run(held: pd.Series) -> pd.Series:
+        encoding = _encoding(path, pattern)
+        return pd.Series([encoding.decode([int(i) for i in x]) if x is not None else None for x in held])
+
+    return run(ids)
+
+
+def truncate_tokens(text: Column, limit: int, path: str, pattern: str, normalise: bool = False) -> Column:
+    """The text of the first ``limit`` tokens."""
+    return decode_tokens(F.slice(encode_tokens(text, path, pattern, normalise), 1, max(0, limit)), path, pattern)

@@ -80,3 +80,22 @@ def counted_once(items: DataFrame) -> DataFrame:
     """``items`` with tokens by counting each distinct text once and joining back: a set-based count cache."""
     counts = items.select("text").distinct().withColumn("counted", char_estimate(F.length("text")))
     return items.join(counts, items["text"].eqNullSafe(counts["text"]), "left").drop(counts["text"]).withColumn("tokens", F.coalesce("counted", F.lit(0))).drop("counted")
+
+
+def utf16_units(text: Column) -> Column:
+    """The text's UTF-16 code units as an array of numbers."""
+    held = F.hex(F.encode(text, "UTF-16BE"))
+    return F.transform(F.sequence(F.lit(1), F.length(held) - 3, F.lit(4)), lambda i: F.conv(F.substring(held, i, F.lit(4)), 16, 10).cast("bigint"))
+
+
+def fnv1a32(text: Column) -> Column:
+    """FNV-1a over UTF-16 code units, 32 bits."""
+    start = F.lit(2166136261).cast("bigint")
+    step = lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619).cast("bigint")).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
+    return F.when(F.length(text) > 0, F.aggregate(utf16_units(text), start, step)).otherwise(start)
+
+
+def char_encode(text: Column, per_token: int = 4) -> Column:
+    """A token id for each ``per_token`` characters: the FNV-1a hash of the piece. It can't be decoded."""
+    pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.length(text) / per_token).cast("int") - 1), lambda i: F.substring(text, i * per_token + 1, F.lit(per_token)))
+    return F.when(F.length(text) > 0, F.transform(pieces, fnv1a32)).otherwise(F.array().cast("array<bigint>"))

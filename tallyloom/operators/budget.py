@@ -67,3 +67,8 @@ def allocate(slots: DataFrame) -> DataFrame:
 def utilisation(used, budget, factor=1.0):
     """What-if utilisation in per cent, one decimal."""
     return F.round(F.least(F.lit(1.0), used / F.greatest(F.lit(1.0), budget * factor)) * 100, 1)
+
+
+def share(budget, total):
+    """A slot's part of the whole in per cent, as a waterfall shows it."""
+    return budget / F.greatest(F.lit(1), total) * 100

@@ -32,30 +32,65 @@ def judged(verdict: Column, answer: Column) -> Column:
     return ~F.startswith(answer, F.lit("ERROR")) & F.startswith(F.upper(F.btrim(verdict)), F.lit("YES"))
 
 
+def usage(runs: DataFrame) -> DataFrame:
+    """Model requests and tokens of each strategy and budget, in all and on average."""
+    sums = [f(c).alias(f"{n}_{c}") for c in ("llm_requests", "llm_tokens") for n, f in (("total", F.sum), ("avg", lambda x: F.round(F.avg(x), 6)))]
+    return runs.groupBy("strategy", "budget").agg(*sums)
+
+
 def retained(answers: DataFrame, items: DataFrame) -> DataFrame:
-    """ctx_id, found: an item of the context holds the answer, or its first 100 characters, in any case."""
-    both = answers.join(items.select("ctx_id", "text"), "ctx_id", "left")
-    hit = F.contains(F.lower("text"), F.lower(F.substring("answer", 1, 100)))
-    return both.groupBy("ctx_id").agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("found"))
+    """ctx_id, exact, part, present: an item is the answer's turn, holds its first 100 characters, or holds the answer in any case.
+
+    ``answers``: ctx_id, answer and optionally turn_text, the text that the answer came from (by default the answer).
+    """
+    turn = F.col("turn_text") if "turn_text" in answers.columns else F.col("answer")
+    both = answers.withColumn("turn_text", turn).join(items.select("ctx_id", "text"), "ctx_id", "left")
+    exact = F.col("text") == F.col("turn_text")
+    part = exact | F.contains("text", F.substring("turn_text", 1, 100))
+    present = F.contains(F.lower("text"), F.lower("answer"))
+    return both.groupBy("ctx_id").agg(*[F.coalesce(F.bool_or(x), F.lit(False)).alias(n) for n, x in (("exact", exact), ("part", part), ("present", present))])
+
+
+def lost_step(steps: DataFrame, flag: str) -> DataFrame:
+    """ctx_id, lost: the first step at which ``flag`` is false after it was true before."""
+    was = F.max(flag).over(W.partitionBy("ctx_id").orderBy("step").rowsBetween(W.unboundedPreceding, -1))
+    rows = steps.withColumn("__was", F.coalesce(was, F.lit(False)))
+    return rows.groupBy("ctx_id").agg(F.min(F.when(F.col("__was") & ~F.col(flag), F.col("step"))).alias("lost"))
 
 
 def trace(items: DataFrame, budget: int) -> DataFrame:
-    """A row for each prefix of a context: tokens so far, what a budget keeps, and whether it overflows."""
+    """A row for each prefix of a context: its tokens, those that a build with oldest-first truncation keeps, and whether it overflows.
+
+    A prefix of S tokens keeps S less the smallest earlier sum that leaves no more than the budget; a context's sums are one bounded array.
+    """
     order = W.partitionBy("ctx_id").orderBy("seq")
     out = items.withColumns({"step": F.row_number().over(order), "total": F.sum("tokens").over(order)})
-    return out.select("ctx_id", "step", "total", F.least(F.col("total"), F.lit(budget)).alias("kept"), (F.col("total") > budget).alias("overflow"), F.round(F.least(F.lit(1.0), F.col("total") / budget), 6).alias("utilisation"))
+    sums = out.groupBy("ctx_id").agg(F.array_sort(F.collect_list(F.struct("step", "total"))).alias("all"))
+    rows = sums.select("ctx_id", "all", F.explode("all").alias("x")).select("ctx_id", "x.step", "x.total", F.concat(F.array(F.lit(0).cast("bigint")), F.transform("all", lambda y: y["total"].cast("bigint"))).alias("before"))
+    least = F.array_min(F.filter("before", lambda y: (y <= F.col("total")) & (F.col("total") - y <= budget)))
+    rows = rows.withColumn("kept", (F.col("total") - least).cast("bigint")).drop("before")
+    return rows.select("ctx_id", "step", "total", "kept", (F.col("total") > budget).alias("overflow"), F.round(F.col("kept") / budget, 6).alias("utilisation"))
 
 
 def trace_report(steps: DataFrame) -> DataFrame:
-    """First overflow, range and growth of utilisation, and the step with the largest rise, for each context."""
+    """Figures of each context's steps (step, kept, overflow, utilisation): first overflow, range and mean of utilisation, growth of tokens a step before
+    the overflow, variance of utilisation in overflowing steps, and the step with the largest drop of tokens (none if they never drop)."""
     order = W.partitionBy("ctx_id").orderBy("step")
-    rise = F.coalesce(F.col("utilisation") - F.lag("utilisation").over(order), F.lit(0.0))
-    rows = steps.withColumn("rise", F.round(rise, 6))
+    rows = steps.withColumns({"drop": F.coalesce(F.lag("kept").over(order) - F.col("kept"), F.lit(0)), "first": F.min(F.when(F.col("overflow"), F.col("step"))).over(W.partitionBy("ctx_id"))})
+    early, late = F.col("first").isNull() | (F.col("step") < F.col("first")), F.col("overflow")
+    n_early = F.count_if(early)
+    rise = F.max_by("kept", F.when(early, F.col("step"))) - F.min_by("kept", F.when(early, F.col("step")))
     out = rows.groupBy("ctx_id").agg(
-        F.min(F.when(F.col("overflow"), F.col("step"))).alias("first_overflow"), F.min("utilisation").alias("low"), F.max("utilisation").alias("high"), F.round(F.avg("utilisation"), 6).alias("mean"), F.round(F.var_pop("utilisation"), 6).alias("variance"),
-        F.max_by("step", F.struct("rise", -F.col("step"))).alias("steepest"), F.round((F.max_by("utilisation", "step") - F.min_by("utilisation", "step")) / F.greatest(F.lit(1), F.count(F.lit(1)) - 1), 6).alias("growth"), F.count(F.lit(1)).alias("steps"),
+        F.min("first").alias("first_overflow"), F.min("utilisation").alias("low"), F.max("utilisation").alias("high"), F.round(F.avg("utilisation"), 6).alias("mean"), F.max_by("utilisation", "step").alias("final"),
+        F.when(n_early >= 2, F.round(rise / (n_early - 1), 6)).otherwise(F.lit(0.0)).alias("growth"), F.when(F.count_if(late) >= 2, F.round(F.var_pop(F.when(late, F.col("utilisation"))), 6)).otherwise(F.lit(0.0)).alias("variance"),
+        F.max("drop").alias("largest_drop"), F.max_by("step", F.when(F.col("drop") > 0, F.struct("drop", -F.col("step")))).alias("drop_step"), F.count(F.lit(1)).alias("steps"),
     )
-    return out.withColumn("position", position(F.col("first_overflow"), F.col("steps")))
+    return out.withColumn("largest_drop", F.greatest(F.lit(0), "largest_drop").cast("bigint")).withColumn("position", position(F.col("first_overflow"), F.col("steps")))
+
+
+def build_times(steps: DataFrame, value: str = "build_ms") -> DataFrame:
+    """Least, most, mean (whole) and sum of the times of a context's builds."""
+    return steps.groupBy("ctx_id").agg(F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.avg(value)).cast("bigint").alias("mean"), F.sum(value).alias("total"))
 
 
 def position(step: Column, steps: Column) -> Column:

@@ -42,3 +42,44 @@ def latest_per_key(events: DataFrame) -> DataFrame:
 
 def summary_text(kind: Column, key: Column, value: Column) -> Column:
     return F.format_string("%s %s: %.2f", kind, key.cast("string"), value)
+
+
+# A line of a timeline for each type of event; {slot} and {detail} stand for the event's own.
+_LINES = {
+    "content:added": ("Added to {slot}", ""), "content:evicted": ("Evicted from {slot}", " · {detail}"), "content:pinned": ("Pinned in {slot}", ""), "slot:overflow": ("Overflow {slot}", " · {detail}"), "slot:budget-resolved": ("Budget resolved {slot}", " → {detail} tok"),
+    "compression:start": ("Compress start {slot}", " ({detail} items)"), "compression:complete": ("Compress done {slot}", " {detail}"), "build:start": ("Build start", " · budget {detail}"), "build:complete": ("Build complete", ""), "warning": ("Warning", ": {detail}"),
+}
+
+
+def timeline(kind: Column, slot: Column, detail: Column) -> Column:
+    """A build's event as a line of text; an unknown slot shows as a question mark, a missing detail is left out."""
+    def fill(text: str) -> list[Column]:
+        out = []
+        for part in text.replace("{slot}", "\0s\0").replace("{detail}", "\0d\0").split("\0"):
+            out.append(F.when(F.length(slot) > 0, slot).otherwise("?") if part == "s" else detail if part == "d" else F.lit(part))
+        return out
+
+    line = F.when(F.length(slot) > 0, F.concat(kind, F.lit(" · "), slot)).otherwise(kind)
+    for name, (head, tail) in _LINES.items():
+        rest = F.when(F.length(detail) > 0, F.concat(*fill(tail))).otherwise("") if tail else F.lit("")
+        line = F.when(kind == name, F.concat(*fill(head), rest)).otherwise(line)
+    return line
+
+
+def should_redact(redaction: bool = True, level: str = "info") -> bool:
+    """On by default; off where redaction is turned off or the log level is trace."""
+    return redaction and level != "trace"
+
+
+def redacted(events: DataFrame, redaction: bool = True, level: str = "info", **how) -> DataFrame:
+    """Events whose strings are redacted, also inside structs, arrays and maps; the type and the slot's name stay."""
+    from tallyloom.functions.text import redact_all
+
+    if not should_redact(redaction, level):
+        return events
+    return events.select(*[F.col(f.name) if f.name in ("type", "slot") else redact_all(F.col(f.name), f.dataType, **how).alias(f.name) for f in events.schema])
+
+
+def as_json(events: DataFrame) -> DataFrame:
+    """ctx_id, body: each event as JSON of all its columns but those that are null."""
+    return events.select("ctx_id", F.to_json(F.struct(*[F.col(c) for c in events.columns])).alias("body"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 HALF_LIFE = 30 * 60_000
+# Fixed value: the form of a FACT line.
 _LINE = r"(?i)^\s*FACT:\s*([^|]+?)\s*\|\s*([^|]+?)\s*\|\s*(.+?)(?:\s*\|\s*([0-9]*\.?[0-9]+))?\s*$"
 
 
@@ -42,13 +43,13 @@ def decayed(confidence: Column, created_at: Column, now: Column, half_life: floa
     return confidence * F.pow(F.lit(0.5), F.greatest(F.lit(0), now - created_at) / half_life)
 
 
-def render(facts: DataFrame, group: list[str], limit: int, lines: bool = False) -> DataFrame:
-    """One text for each group: facts by confidence, newest first, up to the first that goes over ``limit`` characters."""
+def render(facts: DataFrame, group: list[str], limit: int, lines: bool = False, by: str = "confidence") -> DataFrame:
+    """One text for each group: facts by confidence (or ``strength``, see ``ranked``), newest first, up to the first that goes over ``limit`` characters."""
     if lines:
         piece, extra = F.concat_ws(" | ", F.concat(F.lit("FACT: "), F.col("subject")), "predicate", "value", F.col("confidence").cast("string")), 1
     else:
         piece, extra = F.concat(F.col("subject"), F.lit(" "), F.col("predicate"), F.lit(' "'), F.col("value"), F.lit('"')), 2
-    order = W.partitionBy(*group).orderBy(F.desc("confidence"), F.desc("created_at"), "seq")
+    order = W.partitionBy(*group).orderBy(F.desc(by), F.desc("created_at"), "seq")
     rows = facts.withColumn("piece", piece).withColumn("rank", F.row_number().over(order)).withColumn("run", F.sum(F.length("piece") + extra).over(order) + (0 if lines else len("Known facts: ") - extra))
     kept = rows.filter(F.col("run") <= limit)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "piece"))), lambda x: x["piece"]), "\n" if lines else "; ")
@@ -69,18 +70,30 @@ def to_remember(found: DataFrame, memories: DataFrame, threshold: float = 0.92)
     Candidates and memories meet through the words of a prefix filter; similarity is that of word sets.
     """
     from tallyloom.functions.text import ascii_words, set_similarity
+    from tallyloom.operators.similarity import prefixes
 
     a = found.select("ctx_id", "seq", "part", ascii_words(F.col("sentence")).alias("wa"))
     b = memories.select("id", ascii_words(F.col("content")).alias("wb"))
-    words = a.select(F.explode("wa").alias("word")).unionByName(b.select(F.explode("wb").alias("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-
-    def prefix(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
-        each = rows.select(*keys, F.size(column).alias("n"), F.explode(column).alias("word")).join(words, "word")
-        order = each.groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("order"))
-        size = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
-        return order.select(*keys, F.explode(F.slice("order", F.lit(1), size)).alias("x")).select(*keys, "x.word")
-
     keys = ["ctx_id", "seq", "part"]
-    pairs = prefix(a, keys, "wa").join(prefix(b, ["id"], "wb"), "word").select(*keys, "id").distinct()
+    left, right = (prefixes(rows, at, words, threshold).drop("n") for rows, at, words in ((a, keys, "wa"), (b, ["id"], "wb")))
+    pairs = left.join(right, "word").select(*keys, "id").distinct()
     said = pairs.join(a, keys).join(b, "id").filter(set_similarity(F.col("wa"), F.col("wb")) >= threshold).select(*keys).distinct()
     return found.join(said, keys, "left_anti")
+
+
+def ranked(facts: DataFrame, now: Column | None = None, half_life: float = HALF_LIFE) -> DataFrame:
+    """``facts`` with strength, the order in which they are told: confidence, decayed up to ``now`` (by default the newest fact's time) if there is a half-life, then newest first."""
+    newest = F.lit(facts.agg(F.max("created_at")).first()[0] or 0) if now is None else now
+    value = decayed(F.col("confidence"), F.col("created_at"), newest, half_life)
+    return facts.withColumn("strength", value)
+
+
+def extracted(texts: DataFrame) -> DataFrame:
+    """The facts of each of ``texts`` (id, text), an extractor's answers: a JSON array or object of facts, else FACT lines, else none."""
+    kind = "array<struct<subject:string,predicate:string,value:string,confidence:double>>"
+    array = F.startswith(F.btrim("text"), F.lit("["))
+    held = F.from_json(F.when(array, F.col("text")).otherwise(F.get_json_object("text", "$.facts")), kind)
+    json = F.filter(held, lambda f: f["subject"].isNotNull() & f["predicate"].isNotNull() & f["value"].isNotNull())
+    rows = texts.withColumn("found", F.when(F.size(json) > 0, json))
+    a = rows.filter("found is not null").select("id", F.posexplode("found").alias("line_no", "f")).select("id", "line_no", "f.subject", "f.predicate", "f.value", clamp(F.coalesce("f.confidence", F.lit(0.9))).alias("confidence"))
+    return a.unionByName(parse_lines(rows.filter("found is null").select("id", "text")))

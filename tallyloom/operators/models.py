@@ -64,3 +64,8 @@ def overridden(contexts: DataFrame, overrides: DataFrame, keys: list[str], field
     new = overrides.select(*keys, *[F.col(f).alias(f"__{f}") for f in fields])
     out = contexts.join(new, keys, "left")
     return out.withColumns({f: F.coalesce(f"__{f}", f) for f in fields}).drop(*[f"__{f}" for f in fields])
+
+
+def tokenizer(model: Column, extra=()) -> Column:
+    """The name of the tokenizer that counts for a model, by its provider."""
+    return F.when(provider(model, extra) == "anthropic", "anthropic-claude").otherwise("cl100k_base")

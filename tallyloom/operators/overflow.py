@@ -51,9 +51,9 @@ def truncate_latest(items: DataFrame, budget: Column) -> DataFrame:
     return items.withColumn("__keep", truncate_latest_keep(budget)).filter("__keep").drop("__keep")
 
 
-def sliding_window(items: DataFrame, budget: Column, size: int | None = None) -> DataFrame:
+def sliding_window(items: DataFrame, budget: Column, size: int | Column | None = None) -> DataFrame:
     """Pinned items and the last ``size`` others, then oldest first out."""
-    size = max(1, int(size if size is not None else DEFAULT_WINDOW))
+    size = size if isinstance(size, Column) else F.lit(max(1, int(size if size is not None else DEFAULT_WINDOW)))
     back = F.sum(F.when(F.coalesce("pinned", F.lit(False)), 0).otherwise(1)).over(_slot().orderBy("seq").rowsBetween(0, W.unboundedFollowing))
     return truncate(items.withColumn("__back", back).filter(F.coalesce("pinned", F.lit(False)) | (F.col("__back") <= size)).drop("__back"), budget)
 
@@ -73,8 +73,23 @@ def custom(items: DataFrame, policy: Callable, schema: str | None = None) -> Dat
     return items.groupBy(*SLOT).applyInPandas(policy, schema or items.schema)
 
 
-def fallback_chain(items: DataFrame, budget: Column, steps: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Steps in order until a slot fits; slots that fit already pass by, and truncation comes last."""
+class ContextOverflow(RuntimeError):
+    """A slot is over its budget and its policy allows no more."""
+
+
+def demand(items: DataFrame, budget: Column) -> DataFrame:
+    """``items`` as they are; raises if a slot is over its budget. A job that reads two figures of each slot."""
+    if (over := violations(items, budget).first()) is not None:
+        raise ContextOverflow(f"slot {over['slot']!r} of context {over['ctx_id']} has {over['used']} of {over['budget']} tokens")
+    return items
+
+
+def fallback_chain(items: DataFrame, budget: Column, steps: list[Callable[[DataFrame], DataFrame]], strict: bool = False) -> DataFrame:
+    """Steps in order until a slot fits; slots that fit already pass by, and truncation comes last.
+
+    A slot that truncation can't bring to its budget, for its pinned items, is an error: ``strict`` raises it, else such slots
+    pass and ``violations`` tells them.
+    """
     rest, done = items, None
     for step in steps:
         fits = F.sum(_tokens()).over(_slot()) <= budget
@@ -83,7 +98,8 @@ def fallback_chain(items: DataFrame, budget: Column, steps: list[Callable[[DataF
         done = passed if done is None else done.unionByName(passed)
         rest = step(rest.filter("NOT __fits").drop("__fits"))
     last = truncate(rest, budget)
-    return last if done is None else done.unionByName(last)
+    out = last if done is None else done.unionByName(last)
+    return demand(out, budget) if strict else out
 
 
 def triggers(slots: DataFrame, force: bool = False, threshold: float | None = None, ratio: float = 0.3) -> DataFrame:
@@ -126,16 +142,18 @@ def escalation_warnings(items: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def greedy_fit(items: DataFrame, budget: int | Column, by: list[str], group: list[str]) -> DataFrame:
-    """In order ``by``, each item that still fits is taken; one that doesn't is skipped. A fold over a group's sorted items."""
+    """In order ``by``, each item that still fits is taken; one that doesn't is skipped.
+
+    A fold over a group's sorted counts alone; the rows are joined back by their place.
+    """
     budget = F.lit(budget) if isinstance(budget, int) else budget
-    entry = F.struct(*[F.col(c) for c in by], F.struct(*[F.col(c) for c in items.columns]).alias("__row"))
-    grouped = items.withColumn("__budget", budget.cast("bigint")).groupBy(*group).agg(F.array_sort(F.collect_list(entry)).alias("__all"), F.max("__budget").alias("__budget"))
-    empty = F.struct(F.lit(0).cast("bigint").alias("used"), F.expr("cast(array() as array<int>)").alias("kept"), F.lit(0).alias("at"))
+    placed = items.withColumns({"__budget": budget.cast("bigint"), "__place": F.row_number().over(W.partitionBy(*group).orderBy(*by))})
+    grouped = placed.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("__place", _tokens().cast("bigint").alias("t")))).alias("__all"), F.max("__budget").alias("__budget"))
+    empty = F.struct(F.lit(0).cast("bigint").alias("used"), F.expr("cast(array() as array<int>)").alias("kept"))
 
     def take(s, x):
-        t = F.coalesce(x["__row"]["tokens"], F.lit(0)).cast("bigint")
-        fits = s["used"] + t <= F.col("__budget")
-        return F.struct(F.when(fits, s["used"] + t).otherwise(s["used"]).alias("used"), F.when(fits, F.array_append(s["kept"], s["at"])).otherwise(s["kept"]).alias("kept"), (s["at"] + 1).alias("at"))
+        fits = s["used"] + x["t"] <= F.col("__budget")
+        return F.struct(F.when(fits, s["used"] + x["t"]).otherwise(s["used"]).alias("used"), F.when(fits, F.array_append(s["kept"], x["__place"])).otherwise(s["kept"]).alias("kept"))
 
-    folded = grouped.withColumn("__kept", F.aggregate("__all", empty, take)["kept"])
-    return folded.select(F.explode(F.transform("__kept", lambda i: F.get(F.col("__all"), i)["__row"])).alias("r")).select("r.*")
+    kept = grouped.select(*group, F.explode(F.aggregate("__all", empty, take)["kept"]).alias("__place"))
+    return placed.join(kept, [*group, "__place"], "left_semi").select(*items.columns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyloom.functions.text import ascii_words, set_similarity, truncate_with_mark
@@ -28,23 +30,82 @@ def citations(items: DataFrame) -> DataFrame:
     return items.select("ctx_id", F.coalesce("chunk_id", "item_id").alias("chunk_id"), "item_id")
 
 
+def score_of(metadata: Column) -> Column:
+    """A chunk's score from its metadata map: a number, else 0."""
+    value = metadata["rag.score"].try_cast("double")
+    return F.when(value.isNull() | F.isnan(value), F.lit(0.0)).otherwise(value)
+
+
+def chunk_id_of(metadata: Column, item_id: Column) -> Column:
+    """A chunk's id from its metadata map if there is one, else the item's."""
+    return F.when(F.length(metadata["rag.chunkId"]) > 0, metadata["rag.chunkId"]).otherwise(item_id.cast("string"))
+
+
+def rag(items: DataFrame, budget: Column, k: int | None = None, dedupe: float | None = 0.88, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Retrieved chunks: near duplicates out, the ``k`` best stay, and a new order: a user's, else worst first where a slot is over its budget."""
+    from tallyloom.operators.similarity import drop_near_duplicates
+
+    out = items if dedupe is None else drop_near_duplicates(items, dedupe)
+    out = out if k is None else max_chunks(out, k)
+    return rerank(out) if rerank else worst_first(out, budget)
+
+
+def _result(items: DataFrame) -> Column:
+    """Tool results: items of the role tool that aren't definitions."""
+    return (F.col("role") == "tool") & ~F.coalesce("definition", F.lit(False)) if "role" in items.columns else ~F.coalesce("definition", F.lit(False))
+
+
 def truncate_results(items: DataFrame, limit: int = 500) -> DataFrame:
-    """Tool results of more than ``limit`` tokens are cut and counted again; definitions stay."""
-    long = ~F.col("definition") & (text_estimate(F.col("text")) > limit)
-    return items.withColumn("truncated", long).withColumn("text", F.when(long, truncate_with_mark(F.col("text"), limit)).otherwise(F.col("text"))).withColumn("tokens", text_estimate(F.col("text")))
+    """Tool results of more than ``limit`` tokens are cut and counted again; other rows keep their text and count."""
+    long = _result(items) & (text_estimate(F.col("text")) > limit)
+    out = items.withColumn("truncated", long).withColumn("text", F.when(long, truncate_with_mark(F.col("text"), limit)).otherwise(F.col("text")))
+    return out.withColumn("tokens", F.when(F.col("truncated"), text_estimate(F.col("text"))).otherwise(F.col("tokens")))
 
 
 def max_results(items: DataFrame, k: int = 10) -> DataFrame:
-    """Of the unpinned results that aren't definitions the k newest stay."""
-    counted = ~F.col("definition") & ~F.coalesce("pinned", F.lit(False))
-    rank = F.row_number().over(W.partitionBy(*SLOT, counted).orderBy(F.desc("created_at"), F.desc("seq")))
-    return items.withColumn("__r", rank).filter(~counted | (F.col("__r") <= max(0, k))).drop("__r")
+    """Of the unpinned tool results the k newest of a slot stay; other rows all do."""
+    rows = items.withColumn("__c", _result(items) & ~F.coalesce("pinned", F.lit(False)))
+    rank = F.row_number().over(W.partitionBy(*SLOT, "__c").orderBy(F.desc("created_at"), F.desc("seq")))
+    return rows.withColumn("__r", rank).filter(~F.col("__c") | (F.col("__r") <= max(0, k))).drop("__r", "__c")
 
 
 def tools(items: DataFrame, limit: int = 500, k: int = 10) -> DataFrame:
     return max_results(truncate_results(items, limit), k)
 
 
+#: The slot that memories go to unless another is declared.
+MEMORY_SLOT = {"priority": 65, "budget_kind": "percent", "percent": 10, "position": "before", "overflow": "truncate", "default_role": "user"}
+
+
+def inject(items: DataFrame, memories: DataFrame, budgets: DataFrame, now: int, slot: str = "memory", history: str = "history", how: str = "hybrid", limit: int = 48, alpha: float = 0.55, half_life: float = 7 * 86_400_000) -> DataFrame:
+    """``items`` with each context's memories in its memory slot: pinned items, then the user's own, then memories by rank, as far as they fit.
+
+    ``memories``: ctx_id (whose store it is), id, content, updated_at; ``budgets``: ctx_id, budget of the slot. The query is the
+    newest text of a user in ``history``; of the memories that hold one of its words the ``limit`` newest are ranked. Items injected before
+    (``injected``) are made anew.
+    """
+    from tallyloom.functions.tokens import char_estimate
+    from tallyloom.operators.overflow import greedy_fit
+
+    marked = items if "injected" in items.columns else items.withColumn("injected", F.lit(False))
+    own = marked.filter((F.col("slot") == slot) & (F.col("pinned") | ~F.col("injected")))
+    query = last_user_text(marked.filter(F.col("slot") == history))
+    words = F.filter(F.split(F.lower("query"), r"\s+"), lambda w: F.length(w) > 1)
+    hits = memories.join(query, "ctx_id").filter(F.exists(words, lambda w: F.contains(F.lower("content"), w)))
+    newest = F.row_number().over(W.partitionBy("ctx_id").orderBy(F.desc("updated_at"), "id"))
+    hits = hits.withColumn("__n", newest).filter(F.col("__n") <= limit)
+    rel, rec = relevance(F.col("content"), F.col("query")), recency(F.col("updated_at"), F.lit(now), half_life)
+    hits = hits.withColumn("score", {"recency": rec, "relevance": rel, "hybrid": alpha * rel + (1 - alpha) * rec}[how])
+    rank = F.row_number().over(W.partitionBy("ctx_id").orderBy(F.desc("score"), F.desc("updated_at"), "id"))
+    text = F.concat(F.lit("[memory] "), "content")
+    made = hits.select("ctx_id", F.lit(slot).alias("slot"), (F.lit(1 << 30) + rank).cast("bigint").alias("seq"), F.lit("user").alias("role"), text.alias("text"), char_estimate(F.length(text)).alias("tokens"), F.lit(False).alias("pinned"), F.lit(now).cast("bigint").alias("created_at"), F.lit(True).alias("injected"))
+    every = own.unionByName(made, allowMissingColumns=True)
+    room = budgets.select("ctx_id", "budget").join(own.filter("pinned").groupBy("ctx_id").agg(F.sum("tokens").alias("held")), "ctx_id", "left")
+    room = room.select("ctx_id", (F.col("budget") - F.coalesce("held", F.lit(0))).alias("__room"))
+    fit = greedy_fit(every.filter("not pinned").join(room, "ctx_id"), F.col("__room"), ["seq"], ["ctx_id"]).drop("__room")
+    return marked.filter(F.col("slot") != slot).unionByName(every.filter("pinned")).unionByName(fit)
+
+
 def search(memories: DataFrame, query: str, limit: int) -> DataFrame:
     """Memories that hold any word of the query (of two letters or more), newest first: a top-k report."""
     words = [w for w in query.lower().split() if len(w) > 1]
@@ -77,6 +138,14 @@ def upsert(memories: DataFrame, changes: DataFrame, keep_metadata: bool = True)
     return both.groupBy("id").agg(F.max_by("content", at).alias("content"), F.min_by("created_at", at).alias("created_at"), F.max_by("updated_at", at).alias("updated_at"), meta.alias("metadata"))
 
 
+def get(memories: DataFrame, ids: list[str]) -> DataFrame:
+    return memories.filter(F.col("id").isin(*ids))
+
+
+def delete(memories: DataFrame, ids: DataFrame) -> DataFrame:
+    return memories.join(ids.select("id"), "id", "left_anti")
+
+
 def last_user_text(items: DataFrame) -> DataFrame:
     """The newest text of a user that isn't blank, for each context."""
     return items.filter((F.col("role") == "user") & (F.btrim("text") != "")).groupBy("ctx_id").agg(F.max_by("text", F.struct("created_at", "seq")).alias("query"))

@@ -7,51 +7,82 @@ from pyspark.sql import DataFrame, functions as F
 from tallyloom.functions.text import ascii_words, comparable, set_similarity, text_similarity
 
 
-def drop_consecutive(items: DataFrame, threshold: float = 0.92) -> DataFrame:
+def drop_consecutive(items: DataFrame, threshold: float = 0.92, key: str = "comparable") -> DataFrame:
     """Drop an item if it has the role of the last *kept* item of its slot and a text as similar as ``threshold``.
 
-    A fold over each slot's items in order; a slot is bounded by its max_items.
+    A fold over each slot's items in order; a slot is bounded by its max_items. The fold carries places, texts stay in the sorted array. With ``key``
+    a column of that name holds the texts to compare, made comparable already.
     """
-    entry = F.struct("seq", "role", comparable(F.col("text")).alias("t"))
-    start = F.struct(F.lit(None).cast("string").alias("role"), F.lit("").alias("t"), F.expr("cast(array() as array<bigint>)").alias("kept"))
+    texts = F.col(key) if key in items.columns else comparable(F.col("text"))
+    entry = F.struct("seq", "role", texts.alias("t"))
+    start = F.struct(F.lit(-1).alias("last"), F.expr("cast(array() as array<int>)").alias("kept"), F.lit(0).alias("at"))
 
     def step(s, x):
-        same = F.coalesce(s["role"] == x["role"], F.lit(False)) & (text_similarity(s["t"], x["t"]) >= threshold)
-        return F.struct(F.when(same, s["role"]).otherwise(x["role"]).alias("role"), F.when(same, s["t"]).otherwise(x["t"]).alias("t"), F.when(same, s["kept"]).otherwise(F.array_append(s["kept"], x["seq"].cast("bigint"))).alias("kept"))
+        last = F.get(F.col("all"), s["last"])
+        same = (s["last"] >= 0) & F.coalesce(last["role"] == x["role"], F.lit(False)) & F.coalesce(text_similarity(last["t"], x["t"]) >= threshold, F.lit(False))
+        return F.struct(F.when(same, s["last"]).otherwise(s["at"]).alias("last"), F.when(same, s["kept"]).otherwise(F.array_append(s["kept"], s["at"])).alias("kept"), (s["at"] + 1).alias("at"))
 
-    kept = items.groupBy("ctx_id", "slot").agg(F.array_sort(F.collect_list(entry)).alias("all")).select("ctx_id", "slot", F.explode(F.aggregate("all", start, step)["kept"]).alias("seq"))
+    folded = items.groupBy("ctx_id", "slot").agg(F.array_sort(F.collect_list(entry)).alias("all")).withColumn("kept", F.aggregate("all", start, step)["kept"])
+    kept = folded.select("ctx_id", "slot", F.explode(F.transform("kept", lambda i: F.get(F.col("all"), i)["seq"])).alias("seq"))
     return items.join(kept, ["ctx_id", "slot", "seq"], "left_semi")
 
 
-def similar_pairs(items: DataFrame, threshold: float) -> DataFrame:
-    """(ctx_id, a, b, similarity) with a < b: items of a context whose word sets are as similar as ``threshold``.
+def _classes(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ctx_id, seq, c) for each item and (ctx_id, c, words, n) for each distinct word set of a context; c is its smallest seq."""
+    words = items.select("ctx_id", "seq", F.array_sort(ascii_words(F.col("text"))).alias("words"))
+    keyed = words.withColumns({"h1": F.xxhash64("words"), "h2": F.hash("words"), "n": F.size("words")})
+    own = keyed.groupBy("ctx_id", "h1", "h2", "n").agg(F.min("seq").alias("c"), F.any_value("words").alias("words"))
+    members = keyed.select("ctx_id", "seq", "h1", "h2", "n").join(own.select("ctx_id", "h1", "h2", "n", "c"), ["ctx_id", "h1", "h2", "n"]).select("ctx_id", "seq", "c")
+    return members, own.select("ctx_id", "c", "words", "n")
+
+
+def prefixes(rows: DataFrame, keys: list[str], words: str, threshold: float) -> DataFrame:
+    """keys, n, word: of n distinct words the first n - ceil(threshold * n) + 1 in the order of their hashes.
+
+    Any fixed order of all words serves a prefix filter: two sets as similar as ``threshold`` share one of these words.
+    """
+    n = F.size(words)
+    order = F.array_sort(F.transform(words, lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w"))))
+    head = F.slice(order, F.lit(1), F.greatest(F.lit(0), n - F.ceil(n * threshold - 1e-9).cast("int") + 1))
+    return rows.select(*keys, n.alias("n"), F.explode(head).alias("x")).select(*keys, "n", F.col("x.w").alias("word"))
+
 
-    Candidates share one of their rarest words: of n distinct words at least ceil(threshold * n) must be in common, so
-    that two such sets meet within their first n - ceil(threshold * n) + 1 words in order of frequency (prefix filter).
+def similar_classes(items: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(ctx_id, seq, c) and (ctx_id, a, b, similarity) with a < b, of different word sets as similar as ``threshold``.
+
+    Items of equal word sets, blank ones among them, are one class and aren't paired with each other. Candidates share a word of their prefixes.
     """
-    words = items.select("ctx_id", "seq", ascii_words(F.col("text")).alias("words"))
-    each = words.select("ctx_id", "seq", F.explode("words").alias("word"), F.size("words").alias("n"))
-    frequency = each.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    ranked = each.join(frequency, "word").groupBy("ctx_id", "seq", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("order"))
-    prefix = ranked.select("ctx_id", "seq", "n", F.explode(F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))).alias("x")).select("ctx_id", "seq", "n", "x.word")
+    members, classes = _classes(items)
+    prefix = prefixes(classes, ["ctx_id", "c"], "words", threshold)
     a, b = prefix.alias("a"), prefix.alias("b")
-    near = (F.col("a.seq") < F.col("b.seq")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold - 1e-9)
-    pairs = a.join(b, (F.col("a.ctx_id") == F.col("b.ctx_id")) & (F.col("a.word") == F.col("b.word")) & near).select(F.col("a.ctx_id").alias("ctx_id"), F.col("a.seq").alias("a"), F.col("b.seq").alias("b")).distinct()
-    left, right = words.select("ctx_id", F.col("seq").alias("a"), F.col("words").alias("wa")), words.select("ctx_id", F.col("seq").alias("b"), F.col("words").alias("wb"))
-    empty = words.filter(F.size("words") == 0).select("ctx_id", "seq")
-    blank = empty.groupBy("ctx_id").agg(F.min("seq").alias("a")).join(empty.withColumnRenamed("seq", "b"), "ctx_id").filter("a < b").select("ctx_id", "a", "b", F.lit(1.0).alias("similarity"))
+    near = (F.col("a.c") < F.col("b.c")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold - 1e-9)
+    pairs = a.join(b, (F.col("a.ctx_id") == F.col("b.ctx_id")) & (F.col("a.word") == F.col("b.word")) & near).select(F.col("a.ctx_id").alias("ctx_id"), F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
+    left, right = classes.select("ctx_id", F.col("c").alias("a"), F.col("words").alias("wa")), classes.select("ctx_id", F.col("c").alias("b"), F.col("words").alias("wb"))
     scored = pairs.join(left, ["ctx_id", "a"]).join(right, ["ctx_id", "b"]).select("ctx_id", "a", "b", set_similarity(F.col("wa"), F.col("wb")).alias("similarity"))
-    return scored.filter(F.col("similarity") >= threshold).unionByName(blank)
+    return members, scored.filter(F.col("similarity") >= threshold)
+
+
+def similar_pairs(items: DataFrame, threshold: float) -> DataFrame:
+    """(ctx_id, a, b, similarity) with a < b: each item with the first item of its own word set, and word sets as similar as ``threshold`` by their first items.
+
+    So no link between different texts is lost, and equal ones are told by their class, not by all their pairs.
+    """
+    members, pairs = similar_classes(items, threshold)
+    equal = members.filter("seq <> c").select("ctx_id", F.col("c").alias("a"), F.col("seq").alias("b"), F.lit(1.0).alias("similarity"))
+    return pairs.unionByName(equal)
 
 
 def drop_near_duplicates(items: DataFrame, threshold: float = 0.88) -> DataFrame:
     """In order of seq, drop an item that is as similar as ``threshold`` to any item kept before it.
 
-    The pairs of a context are folded in order: an item falls if one of its earlier partners stands.
+    Of equal word sets the first decides: if it stays the others fall by it, if it falls by a partner so do they. The pairs of a
+    context's classes are folded in order: a class falls if one of its earlier partners stands.
     """
-    pairs = similar_pairs(items, threshold).groupBy("ctx_id", "b").agg(F.collect_set("a").alias("partners"))
+    members, pairs = similar_classes(items, threshold)
+    pairs = pairs.groupBy("ctx_id", "b").agg(F.collect_set("a").alias("partners"))
     entry = F.struct(F.col("b").cast("bigint").alias("b"), F.col("partners").cast("array<bigint>").alias("partners"))
     start = F.expr("cast(array() as array<bigint>)")
     fold = F.aggregate("all", start, lambda out, x: F.when(F.size(F.array_except(x["partners"], out)) > 0, F.array_append(out, x["b"])).otherwise(out))
     gone = pairs.groupBy("ctx_id").agg(F.array_sort(F.collect_list(entry)).alias("all")).select("ctx_id", F.explode(fold).alias("seq"))
-    return items.join(gone, ["ctx_id", "seq"], "left_anti")
+    again = members.filter("seq <> c").select("ctx_id", F.col("seq").cast("bigint").alias("seq"))
+    return items.join(gone.unionByName(again), ["ctx_id", "seq"], "left_anti")

@@ -120,7 +120,7 @@ def snp_reuse(spark, sf_dir):
 # ---- formats -------------------------------------------------------------------------------------------------
 
 
-@register("fmt_text", with_query(_M, "SELECT ctx_id, string_agg(text, E'\\n\\n' ORDER BY pos) AS payload FROM m WHERE trim(text) <> '' GROUP BY ctx_id"))
+@register("fmt_text", with_query(_M, "SELECT ctx_id, string_agg(text, E'\\n\\n' ORDER BY pos) AS payload FROM m WHERE text <> '' GROUP BY ctx_id"))
 def fmt_text(spark, sf_dir):
     return fm.format_messages(_messages(spark, sf_dir), "text")
 
@@ -132,12 +132,12 @@ def _json_list(entry: str, order: str) -> str:
 _PAIR = "'{{\"role\":' || to_json({r}) || ',\"content\":' || {t} || '}}'"
 
 
-@register("fmt_openai", with_query(_M, f"""SELECT ctx_id, {_json_list(_PAIR.format(r='role', t="CASE WHEN role = 'assistant' AND text = '' THEN 'null' ELSE to_json(text) END"), "role <> 'system', pos")} AS payload FROM m GROUP BY ctx_id"""))
+@register("fmt_openai", with_query(_M, f"""SELECT ctx_id, {_json_list(_PAIR.format(r='role', t="to_json(text)"), "role <> 'system', pos")} AS payload FROM m GROUP BY ctx_id"""))
 def fmt_openai(spark, sf_dir):
     return fm.format_messages(_messages(spark, sf_dir), "openai")
 
 
-@register("fmt_mistral", with_query(_M, f"""SELECT ctx_id, {_json_list(_PAIR.format(r='role', t="CASE WHEN role = 'assistant' AND text = '' THEN 'null' ELSE to_json(text) END"), "role <> 'system', pos")} AS payload FROM m GROUP BY ctx_id"""))
+@register("fmt_mistral", with_query(_M, f"""SELECT ctx_id, {_json_list(_PAIR.format(r='role', t="to_json(text)"), "role <> 'system', pos")} AS payload FROM m GROUP BY ctx_id"""))
 def fmt_mistral(spark, sf_dir):
     return fm.format_messages(_messages(spark, sf_dir), "mistral")
 
@@ -150,12 +150,12 @@ def fmt_ollama(spark, sf_dir):
 _ISLES = """, r AS (SELECT ctx_id, pos, text, CASE WHEN role = 'assistant' THEN '{a}' ELSE 'user' END AS role FROM m WHERE role <> 'system'), l AS (SELECT *, coalesce((role <> lag(role) OVER (PARTITION BY ctx_id ORDER BY pos))::INT, 0) AS c FROM r), g AS (SELECT *, sum(c) OVER (PARTITION BY ctx_id ORDER BY pos) AS g FROM l)"""
 
 
-@register("fmt_anthropic", with_query(_M + _ISLES.format(a="assistant") + ", c AS (SELECT ctx_id, g, any_value(role) AS role, string_agg(text, E'\\n\\n' ORDER BY pos) AS content FROM g GROUP BY ctx_id, g), b AS (SELECT ctx_id, " + _json_list(_PAIR.format(r="role", t="to_json(content)"), "g") + " AS payload FROM c GROUP BY ctx_id)", "SELECT ctx_id, payload, system FROM b FULL JOIN (SELECT ctx_id, string_agg(text, E'\\n\\n' ORDER BY pos) AS system FROM m WHERE role = 'system' GROUP BY ctx_id) s USING (ctx_id)"))
+@register("fmt_anthropic", with_query(_M + _ISLES.format(a="assistant") + ", c AS (SELECT ctx_id, g, any_value(role) AS role, string_agg(text, '' ORDER BY pos) AS content FROM g GROUP BY ctx_id, g), b AS (SELECT ctx_id, " + _json_list(_PAIR.format(r="role", t="to_json(content)"), "g") + " AS payload FROM c GROUP BY ctx_id)", "SELECT ctx_id, payload, system FROM b FULL JOIN (SELECT ctx_id, string_agg(text, E'\\n\\n' ORDER BY pos) AS system FROM m WHERE role = 'system' AND text <> '' GROUP BY ctx_id) s USING (ctx_id)"))
 def fmt_anthropic(spark, sf_dir):
     return fm.format_messages(_messages(spark, sf_dir), "anthropic")
 
 
-@register("fmt_gemini", with_query(_M + _ISLES.format(a="model") + ", c AS (SELECT ctx_id, g, any_value(role) AS role, " + _json_list("'{\"text\":' || to_json(text) || '}'", "pos") + " AS parts FROM g GROUP BY ctx_id, g), b AS (SELECT ctx_id, " + _json_list("'{\"role\":' || to_json(role) || ',\"parts\":' || parts || '}'", "g") + " AS payload FROM c GROUP BY ctx_id)", "SELECT ctx_id, payload, system FROM b FULL JOIN (SELECT ctx_id, " + _json_list("'{\"text\":' || to_json(text) || '}'", "pos") + " AS system FROM m WHERE role = 'system' GROUP BY ctx_id) s USING (ctx_id)"))
+@register("fmt_gemini", with_query(_M + _ISLES.format(a="model") + ", c AS (SELECT ctx_id, g, any_value(role) AS role, " + _json_list("'{\"text\":' || to_json(text) || '}'", "pos") + " AS parts FROM g GROUP BY ctx_id, g), b AS (SELECT ctx_id, " + _json_list("'{\"role\":' || to_json(role) || ',\"parts\":' || parts || '}'", "g") + " AS payload FROM c GROUP BY ctx_id)", "SELECT ctx_id, payload, system FROM b FULL JOIN (SELECT ctx_id, " + _json_list("'{\"text\":' || to_json(text) || '}'", "pos") + " AS system FROM m WHERE role = 'system' AND text <> '' GROUP BY ctx_id) s USING (ctx_id)"))
 def fmt_gemini(spark, sf_dir):
     return fm.format_messages(_messages(spark, sf_dir), "gemini")
 
@@ -267,23 +267,25 @@ def evl_judge(spark, sf_dir):
     return _runs(spark, sf_dir).select("question_id", "strategy", "budget", ev.judged(verdict, F.col("answer")).alias("ok"))
 
 
-@register("evl_retained", with_query(f"{ITEMS}, {_KEPT.format(n='k', b=200)}, a AS (SELECT ctx_id, arg_min(text, seq) AS answer FROM items WHERE role = 'user' GROUP BY ctx_id)", "SELECT ctx_id, coalesce(bool_or(contains(lower(k.text), lower(answer[1:100]))), false) AS found FROM a LEFT JOIN k USING (ctx_id) GROUP BY ctx_id"))
+@register("evl_retained", with_query(f"{ITEMS}, {_KEPT.format(n='k', b=200)}, a AS (SELECT ctx_id, arg_min(text, seq) AS answer FROM items WHERE role = 'user' GROUP BY ctx_id)", "SELECT ctx_id, coalesce(bool_or(k.text = answer), false) AS exact, coalesce(bool_or(contains(k.text, answer[1:100])), false) AS part, coalesce(bool_or(contains(lower(k.text), lower(answer))), false) AS present FROM a LEFT JOIN k USING (ctx_id) GROUP BY ctx_id"))
 def evl_retained(spark, sf_dir):
     items = _chat(spark, sf_dir)
     answers = items.filter("role = 'user'").groupBy("ctx_id").agg(F.min_by("text", "seq").alias("answer"))
     return ev.retained(answers, _chat(spark, sf_dir, 200))
 
 
-_TRACE = ITEMS + ", t AS (SELECT ctx_id, row_number() OVER w AS step, CAST(sum(tokens) OVER w AS BIGINT) AS total FROM items WINDOW w AS (PARTITION BY ctx_id ORDER BY seq)), s AS (SELECT *, least(total, 300) AS kept, total > 300 AS overflow, round(least(1.0, total / 300), 6) AS utilisation FROM t)"
+_TRACE = ITEMS + """, x AS (SELECT ctx_id, row_number() OVER (PARTITION BY ctx_id ORDER BY seq) AS step, CAST(sum(tokens) OVER (PARTITION BY ctx_id ORDER BY seq) AS BIGINT) AS total FROM items), z AS (SELECT ctx_id, total FROM x UNION ALL SELECT DISTINCT ctx_id, 0 FROM x),
+s AS (SELECT x.ctx_id, x.step, x.total, x.total - min(z.total) FILTER (z.total <= x.total AND x.total - z.total <= 300) AS kept, x.total > 300 AS overflow FROM x JOIN z ON z.ctx_id = x.ctx_id GROUP BY x.ctx_id, x.step, x.total), t AS (SELECT *, round(kept / 300, 6) AS utilisation FROM s)"""
 
 
-@register("evl_trace", with_query(_TRACE, "SELECT * FROM s"))
+@register("evl_trace", with_query(_TRACE, "SELECT * FROM t"))
 def evl_trace(spark, sf_dir):
     return ev.trace(_chat(spark, sf_dir), 300)
 
 
-@register("evl_trace_report", with_query(_TRACE + ", r AS (SELECT *, round(coalesce(utilisation - lag(utilisation) OVER (PARTITION BY ctx_id ORDER BY step), 0), 6) AS rise FROM s)", """SELECT *, CASE WHEN first_overflow IS NULL THEN 'never' WHEN first_overflow / steps < 0.25 THEN 'early' WHEN first_overflow / steps < 0.5 THEN 'first half' WHEN first_overflow / steps < 0.75 THEN 'second half' ELSE 'late' END AS position FROM (SELECT ctx_id, min(step) FILTER (overflow) AS first_overflow, min(utilisation) AS low, max(utilisation) AS high, round(avg(utilisation), 6) AS mean, round(var_pop(utilisation), 6) AS variance,
- first(step ORDER BY rise DESC, step) AS steepest, round((arg_max(utilisation, step) - arg_min(utilisation, step)) / greatest(1, count(*) - 1), 6) AS growth, count(*) AS steps FROM r GROUP BY ctx_id)"""))
+@register("evl_trace_report", with_query(_TRACE + ", r AS (SELECT *, coalesce(lag(kept) OVER (PARTITION BY ctx_id ORDER BY step) - kept, 0) AS d, min(step) FILTER (overflow) OVER (PARTITION BY ctx_id) AS f FROM t)", """SELECT *, CASE WHEN first_overflow IS NULL THEN 'never' WHEN first_overflow / steps < 0.25 THEN 'early' WHEN first_overflow / steps < 0.5 THEN 'first half' WHEN first_overflow / steps < 0.75 THEN 'second half' ELSE 'late' END AS position FROM (SELECT ctx_id, any_value(f) AS first_overflow, min(utilisation) AS low, max(utilisation) AS high, round(avg(utilisation), 6) AS mean, arg_max(utilisation, step) AS final,
+ CASE WHEN count(*) FILTER (f IS NULL OR step < f) >= 2 THEN round((arg_max(kept, step) FILTER (f IS NULL OR step < f) - arg_min(kept, step) FILTER (f IS NULL OR step < f)) / (count(*) FILTER (f IS NULL OR step < f) - 1), 6) ELSE 0.0 END AS growth, CASE WHEN count(*) FILTER (overflow) >= 2 THEN round(var_pop(utilisation) FILTER (overflow), 6) ELSE 0.0 END AS variance,
+ greatest(0, max(d)) AS largest_drop, first(step ORDER BY d DESC, step) FILTER (d > 0) AS drop_step, count(*) AS steps FROM r GROUP BY ctx_id)"""))
 def evl_trace_report(spark, sf_dir):
     return ev.trace_report(ev.trace(_chat(spark, sf_dir), 300))
 
@@ -387,20 +389,12 @@ def sum_split(spark, sf_dir):
 
 @register("sum_progressive")
 def sum_progressive(spark, sf_dir):
-    return su.progressive(_chat(spark, sf_dir), 300)
+    return su.progressive(_chat(spark, sf_dir), 300).drop("summarizes")
 
 
 @register("sum_map_reduce")
 def sum_map_reduce(spark, sf_dir):
-    return su.map_reduce(_chat(spark, sf_dir), 150)
-
-
-@register("mem_inject", with_query(ITEMS + ", q AS (SELECT ctx_id, arg_max(text, seq) AS query FROM items WHERE role = 'user' AND trim(text) <> '' GROUP BY ctx_id)", "SELECT ctx_id, '[memory] ' || query AS text, CAST(ceil(length('[memory] ' || query) / 4.0) AS BIGINT) AS tokens FROM q"))
-def mem_inject(spark, sf_dir):
-    from tallyloom.functions.tokens import char_estimate
-
-    q = rt.last_user_text(_chat(spark, sf_dir)).select("ctx_id", F.concat(F.lit("[memory] "), "query").alias("text"))
-    return q.withColumn("tokens", char_estimate(F.length("text")))
+    return su.map_reduce(_chat(spark, sf_dir), 150).drop("summarizes")
 
 
 # ---- models and whole builds ---------------------------------------------------------------------------------

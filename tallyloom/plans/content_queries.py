@@ -114,24 +114,9 @@ def sim_texts(spark, sf_dir):
     return c.select("conv_id", "turn", F.round(tx.text_similarity(F.col("a"), F.col("b")), 6).alias("sim"))
 
 
-@register("los_dedupe_consecutive")
-def los_dedupe_consecutive(spark, sf_dir):
-    return sy.drop_consecutive(chat_items(spark, sf_dir), 0.3).select("ctx_id", "slot", "seq")
-
-
 _PAIRS = f"w AS (SELECT ctx_id, seq, {_WORDS.format('text')} AS ws FROM rag), p AS (SELECT a.ctx_id, a.seq AS a, b.seq AS b, a.ws AS wa, b.ws AS wb FROM w a JOIN w b ON a.ctx_id = b.ctx_id AND a.seq < b.seq), s AS (SELECT ctx_id, a, b, {_JACC} AS similarity FROM p)"
 
 
-@register("rag_similar_pairs", with_query(f"{RAG}, {_PAIRS}", "SELECT ctx_id, a, b, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.88"))
-def rag_similar_pairs(spark, sf_dir):
-    return sy.similar_pairs(rag_items(spark, sf_dir), 0.88).withColumn("similarity", F.round("similarity", 6))
-
-
-@register("rag_dedupe")
-def rag_dedupe(spark, sf_dir):
-    return sy.drop_near_duplicates(rag_items(spark, sf_dir), 0.88).select("ctx_id", "seq")
-
-
 # ---- retrieval -----------------------------------------------------------------------------------------------
 
 _TOP = "row_number() OVER (PARTITION BY ctx_id ORDER BY score DESC, seq)"
@@ -244,12 +229,6 @@ def sem_threshold(spark, sf_dir):
     return sm.with_threshold(sm.scored(v, a)).select("ctx_id", F.round("threshold", 4).alias("threshold")).distinct()
 
 
-@register("sem_select")
-def sem_select(spark, sf_dir):
-    v, a = _vectors(spark, sf_dir)
-    return sm.select(v, a, 150).select("ctx_id", "seq", "tokens", F.round("sim", 6).alias("sim"))
-
-
 @register("sem_last_user_anchor", with_query(ITEMS, "SELECT ctx_id, arg_max(text, seq) AS anchor FROM items WHERE role = 'user' GROUP BY ctx_id"))
 def sem_last_user_anchor(spark, sf_dir):
     return sm.last_user_anchor(chat_items(spark, sf_dir), "text")

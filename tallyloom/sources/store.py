@@ -59,8 +59,41 @@ def checkpoint(items: DataFrame, path: str, version: int) -> DataFrame:
     return both.filter(~F.col("signature").eqNullSafe(F.col("old"))).select("ctx_id", "slot")
 
 
-def restore(spark: SparkSession, path: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/version={version}")
+def read_slot(items: DataFrame, slot: str) -> DataFrame:
+    """A slot's items in their order."""
+    return items.filter(F.col("slot") == slot).orderBy("ctx_id", "seq")
+
+
+def read_item(items: DataFrame, ctx_id, slot: str, seq: int) -> DataFrame:
+    return items.filter((F.col("ctx_id") == ctx_id) & (F.col("slot") == slot) & (F.col("seq") == seq))
+
+
+class StoreError(ValueError):
+    """Items that can't be restored or changed."""
+
+
+def known(items: DataFrame, keys: DataFrame) -> DataFrame:
+    """``keys`` as they are; raises if one of them names no item."""
+    if (lost := keys.join(items.select(*KEY), KEY, "left_anti").first()) is not None:
+        raise StoreError(f"no item {lost['seq']} in slot {lost['slot']!r} of context {lost['ctx_id']}")
+    return keys
+
+
+def replace_all(items: DataFrame, slots: list[str], max_items: int = MAX_ITEMS) -> DataFrame:
+    """Items that take the place of all there were; unknown slots and slots over their bound raise."""
+    sizes = items.groupBy("ctx_id", "slot").agg(F.count(F.lit(1)).alias("n"))
+    if (bad := sizes.filter(~F.col("slot").isin(*slots) | (F.col("n") > max_items)).first()) is not None:
+        raise StoreError(f"slot {bad['slot']!r} of context {bad['ctx_id']} is unknown or has {bad['n']} items, over {max_items}")
+    return items
+
+
+def restore(spark: SparkSession, path: str, version: int, slots: list[str] | None = None) -> DataFrame:
+    """A checkpoint's items; with ``slots`` they are validated as in ``replace_all``. A version that isn't there raises."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={version}/_SUCCESS")
+    if not files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
+        raise StoreError(f"no version {version} at {path}")
+    items = spark.read.parquet(f"{path}/version={version}")
+    return items if slots is None else replace_all(items, slots)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -26,20 +26,37 @@ def rebuild_on_change(items: DataFrame, checkpoint: str, build: Callable[[DataFr
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def build_stream(plan, items: DataFrame, checkpoint: str, path: str, once: bool = True):
+    """Build the contexts of each micro-batch of items; their slots go to ``path``/slots in reading order, finished contexts to ``path``/complete.
+
+    Each micro-batch writes folders of its own number, so that a batch that is run again replaces what it wrote. Returns the running query,
+    the handle to await or stop.
+    """
+    def run(batch: DataFrame, number: int) -> None:
+        built = plan.build(batch)
+        built.ready().write.mode("overwrite").parquet(f"{path}/slots/batch={number}")
+        built.events().filter("type = 'build:complete'").write.mode("overwrite").parquet(f"{path}/complete/batch={number}")
+
+    writer = items.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def running_window(items: DataFrame, budget: int) -> DataFrame:
     """ctx_id, kept, tokens after each batch: a state of each context's newest items that fit, oldest out first.
 
-    The state of a context holds no more than the items within its budget.
+    A batch's items of a context are put in order of seq as a whole; its state holds no more than the items within its budget.
     """
     import pandas as pd
 
     def update(key, batches, state):
         held = list(state.get[0]) if state.exists else []
-        for pdf in batches:
-            held += [int(t) for t in pdf.sort_values("seq")["tokens"]]
-        total = sum(held)
-        while held and total > budget:
-            total -= held.pop(0)
+        rows = [(int(s), int(t)) for pdf in batches for s, t in zip(pdf["seq"], pdf["tokens"])]
+        held += [t for _, t in sorted(rows)]
+        total, at = sum(held), 0
+        while at < len(held) and total > budget:
+            total -= held[at]
+            at += 1
+        held = held[at:]
         state.update((held,))
         yield pd.DataFrame({"ctx_id": [key[0]], "kept": [len(held)], "tokens": [total]})
 

@@ -39,7 +39,7 @@ def test_error_policy_and_presets(spark):
 
 def test_protected_slots_and_summaries(spark):
     assert ContextPlan().tokens(50).slot("history", 50, protected=True).build(items(spark)).items.count() == 20
-    plan = ContextPlan().tokens(70).slot("history", 50, overflow="sum").policy("sum", summarising(budget=70))
+    plan = ContextPlan().tokens(95).slot("history", 50, overflow="sum").policy("sum", summarising(budget=95))
     built = plan.build(items(spark))
-    assert built.items.groupBy("ctx_id").agg(F.sum("tokens").alias("t")).filter("t > 70").isEmpty()
-    assert not built.items.filter("role = 'system'").isEmpty()
+    assert built.items.groupBy("ctx_id").agg(F.sum("tokens").alias("t")).filter("t > 95").isEmpty()
+    assert not built.items.filter("role = 'assistant'").isEmpty()

@@ -93,11 +93,52 @@ def test_consecutive_duplicates_compare_with_the_last_kept(spark):
     assert {k[2] for k in keys(sy.drop_consecutive(spark.createDataFrame(rows, SCHEMA), 0.92))} == {0, 2, 3, 4}
 
 
-def test_progressive_summaries_fit(spark):
+def test_progressive_summaries_shrink_and_keep_what_must_stay(spark):
     rows, df = items(spark, seed=6)
-    out = su.progressive(df, 120).groupBy("ctx_id", "slot").agg(F.sum("tokens").alias("t")).collect()
-    pinned = {k: sum(r[5] for r in g if r[6]) for k, g in groups(rows).items()}
-    assert all(r.t <= max(120, pinned[(r.ctx_id, r.slot)]) for r in out)
+    out = su.progressive(df, 120).collect()
+    before = groups(rows)
+    for key, g in before.items():
+        mine = [r for r in out if (r.ctx_id, r.slot) == key]
+        total = sum(r[5] for r in g)
+        if total <= 120:
+            assert {r.seq for r in mine} == {r[2] for r in g}
+            continue
+        assert {r[2] for r in g if r[6]} <= {r.seq for r in mine}
+        # each item stays, or one summary stands for it
+        told = [s for r in mine if r.kind != "item" for s in r.summarizes]
+        assert {r.seq for r in mine if r.kind == "item"} | set(told) >= {r[2] for r in g if r[4].strip()}
+
+
+def test_summaries_pass_unchanged_and_facts_come_back(spark):
+    rows = [(1, "h", i, "user", f"message {i} " + "x" * 400, 104, False, i, [7] if i == 0 else []) for i in range(12)]
+    df = spark.createDataFrame(rows, SCHEMA + ", summarizes array<bigint>")
+    say = lambda texts, n: f"FACT: bob | likes | tea | 0.8\nshort {len(texts)}"
+    out = su.progressive(df, 700, summarise=say).collect()
+    kept = {r.seq: r for r in out}
+    assert 0 in kept and kept[0].text == rows[0][4] and kept[0].kind == "item"
+    (fact,) = [r for r in out if r.kind == "facts"]
+    assert fact.pinned and fact.text == 'Known facts: bob likes "tea"'
+    assert any(r.kind == "layer2" and r.text.startswith("short") for r in out)
+
+    def fails(texts, n):
+        raise RuntimeError("no model")
+
+    assert all(r.text.endswith("…") for r in su.progressive(df, 700, summarise=fails).collect() if r.kind.startswith("layer"))
+
+
+def test_map_reduce_merges_to_one_head(spark):
+    rows = [(1, "h", i, "user", f"m{i} " + "y" * 80, 21, False, i) for i in range(40)]
+    calls = []
+
+    def say(texts, n):
+        calls.append(texts)
+        return "+".join(t[:3].strip() for t in texts)
+
+    assert su.map_chunks(["a" * 30, "b" * 30, "", "c" * 90], 16) == [["a" * 30, "b" * 30], ["c" * 64], ["c" * 26]]
+    assert su.reduced(["ab", "cd", "ef"], 3, say, 9) and len(calls) >= 2
+    out = su.map_reduce(spark.createDataFrame(rows, SCHEMA), 200, map_tokens=64, summarise=lambda texts, n: "s").collect()
+    (head,) = [r for r in out if r.kind == "head"]
+    assert len(head.summarizes) + sum(r.kind == "item" for r in out) + sum(len(r.summarizes) for r in out if r.kind == "dropped") == 40
 
 
 def test_escalation_leaves_protected_slots(spark):
