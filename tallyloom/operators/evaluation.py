@@ -69,7 +69,7 @@ def trace(items: DataFrame, budget: int) -> DataFrame:
     rows = sums.select("ctx_id", "all", F.explode("all").alias("x")).select("ctx_id", "x.step", "x.total", F.concat(F.array(F.lit(0).cast("bigint")), F.transform("all", lambda y: y["total"].cast("bigint"))).alias("before"))
     least = F.array_min(F.filter("before", lambda y: (y <= F.col("total")) & (F.col("total") - y <= budget)))
     rows = rows.withColumn("kept", (F.col("total") - least).cast("bigint")).drop("before")
-    return rows.select("ctx_id", "step", "total", "kept", (F.col("total") > budget).alias("overflow"), F.round(F.col("kept") / budget, 6).alias("utilisation"))
+    return rows.select("ctx_id", "step", "total", "kept", (F.col("total") > budget).alias("overflow"), (F.col("kept") / budget).alias("utilisation"))
 
 
 def trace_report(steps: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def trace_report(steps: DataFrame) -> DataFrame:
     n_early = F.count_if(early)
     rise = F.max_by("kept", F.when(early, F.col("step"))) - F.min_by("kept", F.when(early, F.col("step")))
     out = rows.groupBy("ctx_id").agg(
-        F.min("first").alias("first_overflow"), F.min("utilisation").alias("low"), F.max("utilisation").alias("high"), F.round(F.avg("utilisation"), 6).alias("mean"), F.max_by("utilisation", "step").alias("final"),
+        F.min("first").alias("first_overflow"), F.round(F.min("utilisation"), 6).alias("low"), F.round(F.max("utilisation"), 6).alias("high"), F.round(F.avg("utilisation"), 6).alias("mean"), F.round(F.max_by("utilisation", "step"), 6).alias("final"),
         F.when(n_early >= 2, F.round(rise / (n_early - 1), 6)).otherwise(F.lit(0.0)).alias("growth"), F.when(F.count_if(late) >= 2, F.round(F.var_pop(F.when(late, F.col("utilisation"))), 6)).otherwise(F.lit(0.0)).alias("variance"),
         F.max("drop").alias("largest_drop"), F.max_by("step", F.when(F.col("drop") > 0, F.struct("drop", -F.col("step")))).alias("drop_step"), F.count(F.lit(1)).alias("steps"),
     )

@@ -69,11 +69,11 @@ def to_remember(found: DataFrame, memories: DataFrame, threshold: float = 0.92)
 
     Candidates and memories meet through the words of a prefix filter; similarity is that of word sets.
     """
-    from tallyloom.functions.text import ascii_words, set_similarity
-    from tallyloom.operators.similarity import prefixes
+    from tallyloom.functions.text import set_similarity
+    from tallyloom.operators.similarity import prefixes, word_hashes
 
-    a = found.select("ctx_id", "seq", "part", ascii_words(F.col("sentence")).alias("wa"))
-    b = memories.select("id", ascii_words(F.col("content")).alias("wb"))
+    a = found.select("ctx_id", "seq", "part", word_hashes(F.col("sentence")).alias("wa"))
+    b = memories.select("id", word_hashes(F.col("content")).alias("wb"))
     keys = ["ctx_id", "seq", "part"]
     left, right = (prefixes(rows, at, words, threshold).drop("n") for rows, at, words in ((a, keys, "wa"), (b, ["id"], "wb")))
     pairs = left.join(right, "word").select(*keys, "id").distinct()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tallyloom.functions.text import ascii_words, comparable, set_similarity, text_similarity
+from tallyloom.functions.text import comparable, set_similarity, text_similarity
 
 
 def drop_consecutive(items: DataFrame, threshold: float = 0.92, key: str = "comparable") -> DataFrame:
@@ -27,28 +27,33 @@ def drop_consecutive(items: DataFrame, threshold: float = 0.92, key: str = "comp
     return items.join(kept, ["ctx_id", "slot", "seq"], "left_semi")
 
 
+def word_hashes(text: Column) -> Column:
+    """The distinct lower-case words of a-z and 0-9 as sorted 64-bit hashes."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")
+    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+
+
 def _classes(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ctx_id, seq, c) for each item and (ctx_id, c, words, n) for each distinct word set of a context; c is its smallest seq."""
-    words = items.select("ctx_id", "seq", F.array_sort(ascii_words(F.col("text"))).alias("words"))
-    keyed = words.withColumns({"h1": F.xxhash64("words"), "h2": F.hash("words"), "n": F.size("words")})
-    own = keyed.groupBy("ctx_id", "h1", "h2", "n").agg(F.min("seq").alias("c"), F.any_value("words").alias("words"))
-    members = keyed.select("ctx_id", "seq", "h1", "h2", "n").join(own.select("ctx_id", "h1", "h2", "n", "c"), ["ctx_id", "h1", "h2", "n"]).select("ctx_id", "seq", "c")
-    return members, own.select("ctx_id", "c", "words", "n")
+    """(ctx_id, seq, c) for each item and (ctx_id, c, words) for each distinct word set of a context; c is its smallest seq."""
+    keyed = items.select("ctx_id", "seq", word_hashes(F.col("text")).alias("words"))
+    keyed = keyed.select("ctx_id", "seq", "words", F.xxhash64("words").alias("h1"), F.hash("words").alias("h2"))
+    own = keyed.groupBy("ctx_id", "h1", "h2").agg(F.min_by(F.struct(F.col("seq").alias("c"), "words"), "seq").alias("x"))
+    members = keyed.select("ctx_id", "seq", F.min("seq").over(W.partitionBy("ctx_id", "h1", "h2")).alias("c"))
+    return members, own.select("ctx_id", "x.c", "x.words")
 
 
 def prefixes(rows: DataFrame, keys: list[str], words: str, threshold: float) -> DataFrame:
-    """keys, n, word: of n distinct words the first n - ceil(threshold * n) + 1 in the order of their hashes.
+    """keys, n, word: of n distinct words (sorted hashes) the first n - ceil(threshold * n) + 1.
 
     Any fixed order of all words serves a prefix filter: two sets as similar as ``threshold`` share one of these words.
     """
     n = F.size(words)
-    order = F.array_sort(F.transform(words, lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w"))))
-    head = F.slice(order, F.lit(1), F.greatest(F.lit(0), n - F.ceil(n * threshold - 1e-9).cast("int") + 1))
-    return rows.select(*keys, n.alias("n"), F.explode(head).alias("x")).select(*keys, "n", F.col("x.w").alias("word"))
+    head = F.slice(words, F.lit(1), F.greatest(F.lit(0), n - F.ceil(n * threshold - 1e-9).cast("int") + 1))
+    return rows.select(*keys, n.alias("n"), F.explode(head).alias("word"))
 
 
 def similar_classes(items: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(ctx_id, seq, c) and (ctx_id, a, b, similarity) with a < b, of different word sets as similar as ``threshold``.
+    """(ctx_id, seq, c) and (ctx_id, a, b, similarity) with a < b, of different word sets as similar as ``threshold``. Words are told apart by 64-bit hashes.
 
     Items of equal word sets, blank ones among them, are one class and aren't paired with each other. Candidates share a word of their prefixes.
     """

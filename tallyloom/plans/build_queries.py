@@ -275,15 +275,15 @@ def evl_retained(spark, sf_dir):
 
 
 _TRACE = ITEMS + """, x AS (SELECT ctx_id, row_number() OVER (PARTITION BY ctx_id ORDER BY seq) AS step, CAST(sum(tokens) OVER (PARTITION BY ctx_id ORDER BY seq) AS BIGINT) AS total FROM items), z AS (SELECT ctx_id, total FROM x UNION ALL SELECT DISTINCT ctx_id, 0 FROM x),
-s AS (SELECT x.ctx_id, x.step, x.total, x.total - min(z.total) FILTER (z.total <= x.total AND x.total - z.total <= 300) AS kept, x.total > 300 AS overflow FROM x JOIN z ON z.ctx_id = x.ctx_id GROUP BY x.ctx_id, x.step, x.total), t AS (SELECT *, round(kept / 300, 6) AS utilisation FROM s)"""
+s AS (SELECT x.ctx_id, x.step, x.total, x.total - min(z.total) FILTER (z.total <= x.total AND x.total - z.total <= 300) AS kept, x.total > 300 AS overflow FROM x JOIN z ON z.ctx_id = x.ctx_id GROUP BY x.ctx_id, x.step, x.total), t AS (SELECT *, kept / 300 AS utilisation FROM s)"""
 
 
-@register("evl_trace", with_query(_TRACE, "SELECT * FROM t"))
+@register("evl_trace", with_query(_TRACE, "SELECT * REPLACE (round(utilisation, 6) AS utilisation) FROM t"))
 def evl_trace(spark, sf_dir):
-    return ev.trace(_chat(spark, sf_dir), 300)
+    return ev.trace(_chat(spark, sf_dir), 300).withColumn("utilisation", F.round("utilisation", 6))
 
 
-@register("evl_trace_report", with_query(_TRACE + ", r AS (SELECT *, coalesce(lag(kept) OVER (PARTITION BY ctx_id ORDER BY step) - kept, 0) AS d, min(step) FILTER (overflow) OVER (PARTITION BY ctx_id) AS f FROM t)", """SELECT *, CASE WHEN first_overflow IS NULL THEN 'never' WHEN first_overflow / steps < 0.25 THEN 'early' WHEN first_overflow / steps < 0.5 THEN 'first half' WHEN first_overflow / steps < 0.75 THEN 'second half' ELSE 'late' END AS position FROM (SELECT ctx_id, any_value(f) AS first_overflow, min(utilisation) AS low, max(utilisation) AS high, round(avg(utilisation), 6) AS mean, arg_max(utilisation, step) AS final,
+@register("evl_trace_report", with_query(_TRACE + ", r AS (SELECT *, coalesce(lag(kept) OVER (PARTITION BY ctx_id ORDER BY step) - kept, 0) AS d, min(step) FILTER (overflow) OVER (PARTITION BY ctx_id) AS f FROM t)", """SELECT *, CASE WHEN first_overflow IS NULL THEN 'never' WHEN first_overflow / steps < 0.25 THEN 'early' WHEN first_overflow / steps < 0.5 THEN 'first half' WHEN first_overflow / steps < 0.75 THEN 'second half' ELSE 'late' END AS position FROM (SELECT ctx_id, any_value(f) AS first_overflow, round(min(utilisation), 6) AS low, round(max(utilisation), 6) AS high, round(avg(utilisation), 6) AS mean, round(arg_max(utilisation, step), 6) AS final,
  CASE WHEN count(*) FILTER (f IS NULL OR step < f) >= 2 THEN round((arg_max(kept, step) FILTER (f IS NULL OR step < f) - arg_min(kept, step) FILTER (f IS NULL OR step < f)) / (count(*) FILTER (f IS NULL OR step < f) - 1), 6) ELSE 0.0 END AS growth, CASE WHEN count(*) FILTER (overflow) >= 2 THEN round(var_pop(utilisation) FILTER (overflow), 6) ELSE 0.0 END AS variance,
  greatest(0, max(d)) AS largest_drop, first(step ORDER BY d DESC, step) FILTER (d > 0) AS drop_step, count(*) AS steps FROM r GROUP BY ctx_id)"""))
 def evl_trace_report(spark, sf_dir):
