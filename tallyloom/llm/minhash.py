@@ -41,6 +41,8 @@ MERGES = 2
 #: Registers of the finer sketch by which the members of mixed buckets are compared.
 FINE = 512
 BLOCK = 2048
+#: Bits of the hash by which rows that can't be wanted are left where they are.
+BITMAP = 22
 #: A band's chance of agreement at the threshold, at least: (1 - AGREE) ** BANDS is 2e-6.
 AGREE = 0.3205
 _SEEDS = mix(np.arange(1, ROUNDS + max(REGISTERS, FINE) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -249,14 +251,16 @@ def near_classes(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, DataFra
     banded = classes.select("id", "regs").mapInArrow(_bands(rows_a_band), "bucket bigint, id bigint")
     many = banded.groupBy("bucket").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = work.write(banded.join(many, "bucket"), "members")
-    regs = classes.select("id", "n", "regs")
+    # the classes that share a bucket; from here on only these matter
+    known = work.write(classes.select("id", "first", "k1", "k2", "n", "regs").join(members.select("id"), "id", "left_semi"), "known")
+    regs = known.select("id", "n", "regs")
     # stars: each member with its bucket's smallest id
     stars = members.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     ends = lambda x, y: regs.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
     likely = stars.join(ends("b", "rb"), "b").join(ends("a", "ra"), "a").mapInArrow(_likely(threshold), "a bigint, b bigint")
     likely = work.write(likely, "likely")
 
-    sets = work.write(_class_sets(docs, members.select("id").distinct().join(classes.select("id", "first", "k1", "k2"), "id"), work), "sets")
+    sets = work.write(_class_sets(docs, known.select("id", "first", "k1", "k2")), "sets")
     links = work.write(_verified(likely, sets, percent), "links-0")
     labels = components(links, work, "labels-0")
     tested = likely
@@ -273,7 +277,7 @@ def near_classes(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, DataFra
         if not found.isEmpty():
             links = links.unionByName(found)
             labels = components(links, work, f"labels-{step}")
-    for name in ("sets", "members", "likely", "wanted", *(f"pairs-{step}" for step in range(1, MERGES + 2))):
+    for name in ("sets", "members", "likely", "known", *(f"pairs-{step}" for step in range(1, MERGES + 2))):
         work.drop(name)
 
     best = F.min(F.struct(F.col("first").isNull().alias("nameless"), "first", "id"))
@@ -284,15 +288,26 @@ def near_classes(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, DataFra
     return rows.select("doc_id", "n", "k1", "k2"), work.write(named, "named")
 
 
-def _class_sets(docs: DataFrame, wanted: DataFrame, work: Workspace) -> DataFrame:
+def _probably(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without most rows whose doc_id isn't among ``ids``, so that few texts cross the network; none of those that are is lost.
+
+    A bitmap of 2**``BITMAP`` hashed ids, a bounded table of 64-bit words, is broadcast; where ids fill it, it lets all rows pass.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP))
+    bit = F.call_function("shiftleft", F.expr("1L"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))
+    held = ids.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    placed = docs.withColumn("place", place).withColumn("word", F.shiftright("place", 6))
+    return placed.join(F.broadcast(held), "word").filter(F.col("bits").bitwiseAND(bit) != 0).select(docs.columns)
+
+
+def _class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, shingles, fine) of the wanted classes, from the text of the row with their first doc_id.
 
     Classes whose first doc_id another class has too, or that have none, find their texts by the sets' own digests.
     """
-    wanted = work.write(wanted, "wanted")
     shared = wanted.filter("first is not null").groupBy("first").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("first")
     alone = wanted.filter("first is not null").join(shared, "first", "left_anti").select("id", "k1", "k2", F.col("first").alias("doc_id"))
-    sets = docs.join(alone, "doc_id").select("id", "k1", "k2", "text").mapInArrow(_named_sets, "id bigint, shingles binary, fine binary")
+    sets = _probably(docs, alone).join(alone, "doc_id").select("id", "k1", "k2", "text").mapInArrow(_named_sets, "id bigint, shingles binary, fine binary")
     odd = wanted.filter("first is null").unionByName(wanted.join(shared, "first", "left_semi").select(wanted.columns))
     if odd.isEmpty():
         return sets
