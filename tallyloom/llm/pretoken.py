@@ -27,10 +27,10 @@ class _Pieces(dict):
         self.encode, self.prefix, self.strict, self.limit, self.old = encode, prefix, strict, limit, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if self.strict and (not piece or piece[0].isspace() or piece[-1].isspace()):
-            raise Unclean
         found = self.old.get(piece)
         if found is None:
+            if self.strict and (not piece or piece[0].isspace() or piece[-1].isspace()):
+                raise Unclean
             found = self.encode(self.prefix + piece)
         if len(piece) <= 64:  # a long piece is hardly seen twice
             if len(self) >= self.limit:
@@ -58,7 +58,7 @@ class PieceEncoder:
             pieces.old = {}
 
     def _inner(self, piece: str) -> bytes:
-        """A piece with its space: cut at newlines, and before one closing comma or full stop."""
+        """A piece with its space: cut at newlines, and before one closing sign, which is a match of its own after a letter."""
         if (piece[1:] if piece[0] == " " else piece).isalpha():
             return self.encode_word(piece)
         if "\n" in piece:
@@ -66,7 +66,7 @@ class PieceEncoder:
             if others:
                 line = self.marks["\n"]
                 return self._inner(first) + b"".join(line + self.head[x] for x in others)
-        if len(piece) > 2 and piece[-1] in ",." and piece[-2].isalpha():
+        if len(piece) > 2 and piece[-1] in ",.;:!?)" and piece[-2].isalpha():
             core = self.rest[piece[1:-1]] if piece[0] == " " else self.head[piece[:-1]]
             return core + self.marks[piece[-1]]
         return self.encode_piece(piece)

@@ -62,9 +62,9 @@ def _encoder(path: str):
             return array("I", [t.id for t in model.tokenize(text)]).tobytes()
 
         # the cuts of PieceEncoder hold for byte-level splitting as in the public pattern; other tokenizers take texts as a whole
-        split = json.loads(tokenizer.to_str())
-        byte_level = (split.get("pre_tokenizer") or {}) | {"trim_offsets": None} == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": None, "use_regex": True} and not split.get("normalizer")
-        pieces = PieceEncoder(whole, word)
+        split = json.loads(tokenizer.pre_tokenizer.__getstate__()) if tokenizer.pre_tokenizer else {}
+        byte_level = split | {"trim_offsets": None} == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": None, "use_regex": True} and tokenizer.normalizer is None
+        pieces = PieceEncoder(whole, word, 650_000)
         _ENCODERS[path] = (lambda text: whole(text) if any(x in text for x in special) else pieces(text)) if byte_level else whole, pieces.let_go
     claim("tokens", _ENCODERS[path][1])
     return _ENCODERS[path][0]
@@ -130,7 +130,8 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column(3)
         ids, ends = lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False), lists.offsets.to_numpy()
-        crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends, ends[1:])]
+        held = memoryview(np.ascontiguousarray(ids)).cast("B")
+        crcs = [zlib.crc32(held[4 * a : 4 * b]) for a, b in zip(ends.tolist(), ends[1:].tolist())]
         counts = np.diff(ends).astype(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
