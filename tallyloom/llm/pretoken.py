@@ -22,16 +22,19 @@ class Unclean(Exception):
 class _Pieces(dict):
     """piece -> packed ids; two generations bound the memory."""
 
-    def __init__(self, encode: Callable[[str], bytes], prefix: str, strict: bool, limit: int):
+    def __init__(self, encode: Callable[[str], bytes], prefix: str, strict: bool, limit: int, word: Callable[[str], bytes] | None = None):
         super().__init__()
-        self.encode, self.prefix, self.strict, self.limit, self.old = encode, prefix, strict, limit, {}
+        self.encode, self.prefix, self.strict, self.limit, self.word, self.old = encode, prefix, strict, limit, word or encode, {}
 
     def __missing__(self, piece: str) -> bytes:
         found = self.old.get(piece)
         if found is None:
-            if self.strict and (not piece or piece[0].isspace() or piece[-1].isspace()):
+            if self.strict and piece.isalpha():  # most of what is new: one match, with no space in it
+                found = self.word(self.prefix + piece)
+            elif self.strict and (not piece or piece[0].isspace() or piece[-1].isspace()):
                 raise Unclean
-            found = self.encode(self.prefix + piece)
+            else:
+                found = self.encode(self.prefix + piece)
         if len(piece) <= 64:  # a long piece is hardly seen twice
             if len(self) >= self.limit:
                 self.old = dict(self)
@@ -48,8 +51,8 @@ class PieceEncoder:
 
     def __init__(self, encode_piece: Callable[[str], bytes], encode_word: Callable[[str], bytes] | None = None, limit: int = 400_000):
         self.encode_piece, self.encode_word = encode_piece, encode_word or encode_piece
-        self.head = _Pieces(self._inner, "", True, limit // 4)
-        self.rest = _Pieces(self._inner, " ", True, limit)
+        self.head = _Pieces(self._inner, "", True, limit // 4, self.encode_word)
+        self.rest = _Pieces(self._inner, " ", True, limit, self.encode_word)
         self.marks = _Pieces(encode_piece, "", False, 10_000)
 
     def let_go(self) -> None:
@@ -59,13 +62,12 @@ class PieceEncoder:
 
     def _inner(self, piece: str) -> bytes:
         """A piece with its space: cut at newlines, and before one closing sign, which is a match of its own after a letter."""
-        if (piece[1:] if piece[0] == " " else piece).isalpha():
-            return self.encode_word(piece)
         if "\n" in piece:
             first, *others = _LINE.split(piece)
             if others:
                 line = self.marks["\n"]
-                return self._inner(first) + b"".join(line + self.head[x] for x in others)
+                before = self.rest[first[1:]] if first[0] == " " else self.head[first]
+                return before + b"".join(line + self.head[x] for x in others)
         if len(piece) > 2 and piece[-1] in ",.;:!?)" and piece[-2].isalpha():
             core = self.rest[piece[1:-1]] if piece[0] == " " else self.head[piece[:-1]]
             return core + self.marks[piece[-1]]
