@@ -152,8 +152,8 @@ def unwrapped(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"row.`{c}`") for c in names])
 
 
-def split_join(rows: DataFrame, classes: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` joined with ``classes`` on ``keys``, where a class's ``size`` is the number of its rows.
+def split_join(rows: DataFrame, classes: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``classes`` on ``keys``, where a class's ``size`` is the number of its rows; ``left`` keeps rows without a class.
 
     Classes with more than 1 in ``HOT`` of all rows, ``HOT`` of them at most, are broadcast: their rows stay where they are. So no
     key brings more than that share of the rows to one task.
@@ -161,8 +161,8 @@ def split_join(rows: DataFrame, classes: DataFrame, keys: list[str]) -> DataFram
     total = classes.agg(F.sum("size")).first()[0] or 0
     hot = classes.filter(F.col("size") > max(64, total // HOT))
     if hot.isEmpty():
-        return rows.join(classes, keys)
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(classes.filter(F.col("size") <= max(64, total // HOT)), keys)
+        return rows.join(classes, keys, how)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(classes.filter(F.col("size") <= max(64, total // HOT)), keys, how)
     return rest.unionByName(rows.join(F.broadcast(hot), keys))
 
 

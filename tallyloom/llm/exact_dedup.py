@@ -3,12 +3,14 @@
 Documents are dealt to memtables by a hash of their id. A memtable flushes one sorted run: a row for each digest with
 its smallest id and its count, in Parquet with min/max statistics on the digest, and the run's Bloom filter: a table of 64-bit blocks, in which a digest sets
 four bits of one block. Compaction merges
-runs level by level; of equal digests the smallest id stays and counts add up. Every document whose digest
-occurs more than once is a hit; hits are compared byte for byte with the text of the row that stays, and rows that
-differ (a digest collision) form classes of their own by their text.
+runs level by level; of equal digests the smallest id stays and counts add up.
 
-``DigestIndex`` may stay in a folder of its own: later batches look their digests up, where the filters leave out most digests
-that a run doesn't hold before anything is exchanged with it, and are flushed as further runs. A whole table's dedup reads the merged runs once and needs no lookup.
+A memtable's digests are looked up in the runs before it: a run's filter leaves out most digests that the run doesn't hold, the others are joined
+with its rows. Digests that an earlier run holds, or that occur more than once in their memtable, are shared; their smallest ids and counts are looked up
+in the compacted runs in the same way. No other digest is read again: its document is alone. Documents of shared digests are
+hits; they are compared byte for byte with the text of the row that stays, and rows that differ (a digest collision) form classes of their own by their text.
+
+``DigestIndex`` may stay in a folder of its own, where later batches are looked up and flushed as further runs.
 
 Defined cases: a null text counts as empty; empty texts equal one another. A null doc_id takes part like any other row,
 is never the smallest unless all ids of its group are null, and is kept only then. Rows that repeat a doc_id with
@@ -52,12 +54,12 @@ def _mask(digest: Column) -> Column:
 class DigestIndex:
     """Sorted digest runs at levels, with their filters; ``fanout`` runs of a level are compacted to one of the next.
 
-    With ``filters=False`` none are written, for an index that is read as a whole. A run's name tells its level, its number and the numbers of the runs that
-    it was made of, so that an index in a folder can be opened again: runs that a compaction has replaced but not yet removed are left out.
+    A run's name tells its level, its number and the numbers of the runs that it was made of, so that an index in a folder can be opened again:
+    runs that a compaction has replaced but not yet removed are left out.
     """
 
-    def __init__(self, work: Workspace, fanout: int = 4, filters: bool = True):
-        self.work, self.fanout, self.filters, self.levels, self.made = work, fanout, filters, {}, 0
+    def __init__(self, work: Workspace, fanout: int = 4):
+        self.work, self.fanout, self.levels, self.made = work, fanout, {}, 0
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, fanout: int = 4) -> DigestIndex:
@@ -74,11 +76,10 @@ class DigestIndex:
     def _run(self, rows: DataFrame, level: int, first: int, last: int) -> str:
         name = f"run-{level}-{first}-{last}"
         merged = rows.groupBy("digest").agg(F.min("first_id").alias("first_id"), F.sum("n").alias("n"))
-        run = self.work.write(merged.sortWithinPartitions("digest"), f"new-{name}" if self.filters else name)
-        if self.filters:  # the filter first: a run under its own name is complete
-            blocks = max(1, run.count() // PER_BLOCK)
-            self.work.write(run.groupBy(_place(F.col("digest"), blocks).alias("block")).agg(F.bit_or(_mask(F.col("digest"))).alias("bits"), F.lit(blocks).alias("blocks")), f"filter-{name}")
-            self.work.rename(f"new-{name}", name)
+        run = self.work.write(merged.sortWithinPartitions("digest"), f"new-{name}")
+        blocks = max(1, run.count() // PER_BLOCK)  # the filter first: a run under its own name is complete
+        self.work.write(run.groupBy(_place(F.col("digest"), blocks).alias("block")).agg(F.bit_or(_mask(F.col("digest"))).alias("bits"), F.lit(blocks).alias("blocks")), f"filter-{name}")
+        self.work.rename(f"new-{name}", name)
         return name
 
     def _read(self, names: list[str]) -> DataFrame:
@@ -89,7 +90,21 @@ class DigestIndex:
 
     def flush(self, memtable: DataFrame) -> None:
         """Add a memtable (digest, first_id, n) as a run of level 0, then compact full levels."""
-        level, name = 0, self._run(memtable, 0, self.made, self.made)
+        self._settle(self._run(memtable, 0, self.made, self.made))
+
+    def absorb(self, memtable: DataFrame) -> DataFrame:
+        """``flush``, but the run's digests are looked up in the runs before it: the shared ones among them (digest)."""
+        name = self._run(memtable, 0, self.made, self.made)
+        rows = self._read([name])
+        shared = rows.filter(F.col("n") > 1).select("digest")
+        if self.names():
+            shared = shared.unionByName(self.lookup(rows.select("digest")).select("digest")).distinct()
+        shared = self.work.write(shared, f"shared-{self.made}")
+        self._settle(name)
+        return shared
+
+    def _settle(self, name: str) -> None:
+        level = 0
         self.made += 1
         self.levels.setdefault(0, []).append(name)
         while len(self.levels[level]) >= self.fanout:
@@ -99,8 +114,7 @@ class DigestIndex:
             name = self._run(self._read(full), level, min(a for a, _ in ends), max(b for _, b in ends))
             for old in full:
                 self.work.drop(old)
-                if self.filters:
-                    self.work.drop(f"filter-{old}")
+                self.work.drop(f"filter-{old}")
             self.levels.setdefault(level, []).append(name)
 
     def rows(self) -> DataFrame:
@@ -148,15 +162,17 @@ def exact_dedup(docs: DataFrame, memtables: int = 4, fanout: int = 4) -> DataFra
     norm = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
     log = work.write(norm.select("doc_id", F.unhex(F.sha2("norm", 256)).alias("digest")), "log")
 
-    index = DigestIndex(work, fanout, filters=False)
+    index, shared = DigestIndex(work, fanout), None
     for m in range(memtables):
         part = log.filter(F.pmod(F.xxhash64("doc_id"), F.lit(memtables)) == m)
-        index.flush(part.select("digest", F.col("doc_id").alias("first_id"), F.lit(1).cast("bigint").alias("n")))
-    rows = index.rows()
+        found = index.absorb(part.select("digest", F.col("doc_id").alias("first_id"), F.lit(1).cast("bigint").alias("n")))
+        shared = found if shared is None else shared.unionByName(found)
+    classes = work.write(index.lookup(shared.distinct()), "classes").withColumn("size", F.col("n"))
+    for name in [*index.names(), *[f"filter-{x}" for x in index.names()], *[f"shared-{m}" for m in range(memtables)]]:
+        work.drop(name)
 
     # hits and the rows that stay, with their texts: only groups of more than one row need bytes
-    shared = rows.filter(F.col("n") > 1)
-    members = split_join(log, shared.withColumn("size", F.col("n")), ["digest"]).select("doc_id", "digest", "first_id", "n").distinct()
+    members = split_join(log, classes, ["digest"]).select("doc_id", "digest", "first_id", "n").distinct()
     texts = norm.withColumn("digest", F.unhex(F.sha2("norm", 256)))
     held = texts.alias("t").join(members.alias("m"), F.col("t.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("t.digest") == F.col("m.digest"))).select("t.doc_id", "t.digest", "first_id", "n", "norm")
     held = work.write(held, "held")
@@ -168,7 +184,9 @@ def exact_dedup(docs: DataFrame, memtables: int = 4, fanout: int = 4) -> DataFra
     differ = work.write(differ.select("doc_id", "digest", "norm"), "differ")
     work.drop("held")
 
-    out = split_join(log, rows.withColumn("size", F.col("n")), ["digest"])
+    # a document that no class takes up is alone
+    out = split_join(log, classes, ["digest"], "left")
+    out = out.withColumns({"n": F.coalesce("n", F.lit(1).cast("bigint")), "first_id": F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("first_id"))})
     size, keep = F.col("n"), F.col("first_id")
     if not differ.isEmpty():  # digests that collide: the rows that differ are regrouped by their text
         own = differ.groupBy("digest", "norm").agg(F.min("doc_id").alias("own_id"), F.count(F.lit(1)).alias("own_n"))

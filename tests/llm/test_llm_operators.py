@@ -147,6 +147,29 @@ def test_exact_dedup(docs):
     assert got == want
 
 
+def test_exact_dedup_looks_memtables_up_by_the_filters(spark, monkeypatch):
+    probed, real = [], exact_dedup.DigestIndex.maybe
+
+    def maybe(self, digests, name):
+        passed = real(self, digests, name)
+        probed.append((name, digests.count(), passed.count()))
+        return passed
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "maybe", maybe)
+    pairs = [(i, f"t{i}" if i < 800 else f"t{i % 40}" if i < 880 else "hot") for i in range(1000)]
+    answers = lambda **how: {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(table(spark, pairs), **how).collect()}
+    want = {i: (i % 40, 3, i < 40) if i < 40 or 800 <= i < 880 else (i, 1, True) if i < 800 else (880, 120, i == 880) for i in range(1000)}
+    assert answers(memtables=5, fanout=2) == want
+    # each memtable after the first meets all runs before it, which compaction has merged, then the 41 shared digests the last ones
+    assert [x for x, *_ in probed] == ["run-0-0-0", "run-1-0-1", "run-1-0-1", "run-0-2-2", "run-2-0-3", "run-2-0-3", "run-0-4-4"]
+    assert [n for _, n, _ in probed[-2:]] == [41, 41]
+    asked, passed = (sum(x[i] for x in probed[:-2]) for i in (1, 2))
+    assert passed < asked / 2  # the filters leave out most of what a run doesn't hold
+    # without what passes the filters, copies of different memtables don't meet
+    monkeypatch.setattr(exact_dedup.DigestIndex, "maybe", lambda self, digests, name: digests.limit(0))
+    assert answers() != want
+
+
 def test_exact_dedup_survives_colliding_digests(spark, monkeypatch):
     real = F.sha2
     monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.lpad(F.substring(real(c, n), 1, 1), 64, "0"))
