@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.llm.common import Workspace, claim, plain, released_shuffles, slices
@@ -38,36 +39,58 @@ def _shown_bytes() -> dict[int, str]:
     return {b: chr(b) if b in printable else chr(256 + rest.index(b)) for b in range(256)}
 
 
-def _encoder(path: str):
-    """text -> packed ids by the tokenizers library, built once in each Python worker."""
-    if path not in _ENCODERS:
+class _Encoder:
+    """Ids by the tokenizers library; byte-level vocabularies that split as the public pattern get distinct pieces once."""
+
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        from tallyloom.llm.pretoken import PieceEncoder
-
-        tokenizer = Tokenizer.from_file(path)
-        special = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
-
-        def whole(text: str) -> bytes:
-            return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-        model, shown = tokenizer.model, _shown_bytes()
-
-        def word(text: str) -> bytes:
-            """Letters alone are one pre-token: the library's model takes it as it is."""
-            text = text.replace(" ", shown[32]) if text.isascii() else text.encode("utf-8").decode("latin-1").translate(shown)
-            return array("I", [t.id for t in model.tokenize(text)]).tobytes()
-
-        # the cuts of PieceEncoder hold for byte-level splitting as in the public pattern; other tokenizers take texts as a whole
-        split = json.loads(tokenizer.pre_tokenizer.__getstate__()) if tokenizer.pre_tokenizer else {}
-        byte_level = split | {"trim_offsets": None} == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": None, "use_regex": True} and tokenizer.normalizer is None
-        pieces = PieceEncoder(whole, word, 650_000)
-        _ENCODERS[path] = (lambda text: whole(text) if any(x in text for x in special) else pieces(text)) if byte_level else whole, pieces.let_go
-    claim("tokens", _ENCODERS[path][1])
-    return _ENCODERS[path][0]
+        from tallyloom.llm.pretoken import BatchEncoder
+
+        self.tokenizer, self.shown = Tokenizer.from_file(path), _shown_bytes()
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        # the cuts of BatchEncoder hold for byte-level splitting as in the public pattern; other tokenizers take texts as a whole
+        split = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
+        self.byte_level = split | {"trim_offsets": None} == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": None, "use_regex": True} and self.tokenizer.normalizer is None
+        self.model, self.cut = self.tokenizer.model, BatchEncoder(self._piece, 300_000)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: bytes) -> bytes:
+        text = piece.decode("utf-8")
+        if not (text[1:] if text[0] == " " else text).isalpha():
+            return self._whole(text)
+        # letters alone, after a space or not, are one pre-token: the library's model takes it as it is
+        text = text.replace(" ", self.shown[32]) if len(text) == len(piece) else piece.decode("latin-1").translate(self.shown)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def batch(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, ``end`` (packed) after each, and how many each has."""
+        texts = pc.fill_null(texts, "")
+        apart = np.full(len(texts), not self.byte_level)
+        for x in self.special:
+            apart |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        tails = [end] * len(texts)
+        if apart.any():
+            for i in np.flatnonzero(apart).tolist():
+                tails[i] = self._whole(texts[i].as_py()) + end
+            texts = pc.if_else(pa.array(apart), pa.scalar("", texts.type), texts)
+        return self.cut(texts, tails)
+
+    def __call__(self, text: str) -> bytes:
+        return self.batch(pa.array([text], pa.string()), b"")[0].tobytes()
+
+
+def _encoder(path: str) -> _Encoder:
+    """The encoder of a tokenizer file, built once in each Python worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = _Encoder(path)
+    claim("tokens", _ENCODERS[path].cut.let_go)
+    return _ENCODERS[path]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int = END_ID, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10) -> None:
@@ -83,11 +106,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None,
         part, before, run = context.partitionId() if context else 0, 0, _encoder(tokenizer_path)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for piece in slices(batch, 1, 512, 2 << 20):
-                packed = [run(x.as_py() or "") + end for x in piece.column(1)]
-                counts = np.array([len(x) // 4 for x in packed], dtype=np.int64)
+            for piece in slices(batch, 1, 1024, 2 << 20):
+                ids, counts = run.batch(piece.column(1), end)
                 ends = np.cumsum(counts)
-                ids = np.frombuffer(b"".join(packed), dtype="<i4")
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.full(len(counts), part, np.int32)), pa.array(before + ends - counts), pa.array(counts), lists], names=["doc_id", "part", "part_start", "n_tokens", "token_ids"])
                 before += int(ends[-1])

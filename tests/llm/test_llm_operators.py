@@ -278,6 +278,33 @@ def test_token_output(spark, docs, tmp_path):
     assert "token_ids" not in meta._jdf.queryExecution().executedPlan().toString()
 
 
+def test_token_batches_look_distinct_pieces_up_once_and_are_exact(spark, monkeypatch):
+    import public_tokenizers as P
+    import pyarrow as pa
+    from tallyloom.llm import pretoken
+    from tokenizers import Tokenizer
+
+    path = P.path(token_output.DEFAULT_TOKENIZER)
+    library, encoder = Tokenizer.from_file(path), token_output._Encoder(path)
+    end = np.array([2], "<u4").tobytes()
+
+    def check(texts):
+        ids, counts = encoder.batch(pa.array(["left out", *texts], pa.string()).slice(1), end)
+        want = [library.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+
+    check(["one two, one.\none two### don't", "one one one two two, one###"] * 50)
+    # signs after a word and newlines aren't encoded again with each word
+    assert set(encoder.cut.pieces) == {b"one", b" one", b" two", b",", b".", b"\n", b"###", b" don", b"'t"}
+    rng = random.Random(8)
+    atoms = [*" \n\t\r\x0b\x1c\x85\xa0\u2003\u3000'.,;!?#09aZbéß×÷ñĀɿʰѿωªº²中あ가🙂\ufeff\x00", "'s", "'re", "  ", "\n\n", " \n", "\n ", " the", "<|endoftext|>", "<|endo", "12"]
+    monkeypatch.setattr(pretoken, "GATHERED", 50)
+    for _ in range(40):
+        check([None, "", *["".join(rng.choices(atoms, k=rng.randint(0, 14))) for _ in range(100)]])
+    check([])
+    check([None, ""])
+
+
 def test_token_files_have_bounded_row_groups_pages_and_page_indexes(spark, tmp_path):
     import glob
 
