@@ -67,18 +67,23 @@ def candidates(items: DataFrame, last: int = 4, least: int = 24) -> DataFrame:
 def to_remember(found: DataFrame, memories: DataFrame, threshold: float = 0.92) -> DataFrame:
     """Candidates (ctx_id, seq, part, sentence) that no memory (id, content) says already.
 
-    Candidates and memories meet through the words of a prefix filter; similarity is that of word sets.
+    Similarity is that of word sets. Each distinct set is one row of either side: equal sets meet as they are, different ones by the signatures of ``similarity.signatures``.
     """
     from tallyloom.functions.text import set_similarity
-    from tallyloom.operators.similarity import prefixes, word_hashes
+    from tallyloom.operators.similarity import bare, signatures, word_hashes
 
-    a = found.select("ctx_id", "seq", "part", word_hashes(F.col("sentence")).alias("wa"))
-    b = memories.select("id", word_hashes(F.col("content")).alias("wb"))
     keys = ["ctx_id", "seq", "part"]
-    left, right = (prefixes(rows, at, words, threshold).drop("n") for rows, at, words in ((a, keys, "wa"), (b, ["id"], "wb")))
-    pairs = left.join(right, "word").select(*keys, "id").distinct()
-    said = pairs.join(a, keys).join(b, "id").filter(set_similarity(F.col("wa"), F.col("wb")) >= threshold).select(*keys).distinct()
-    return found.join(said, keys, "left_anti")
+    sets = lambda rows, text: rows.select(*rows.columns, word_hashes(F.col(text)).alias("words")).withColumn("h", bare(F.xxhash64("words")))
+    a, b = sets(found.select(*keys, "sentence"), "sentence"), sets(memories.select("content"), "content")
+    wa, wb = (x.groupBy("h").agg(F.first("words").alias("words")) for x in (a, b))
+    new = wa.join(wb.select("h"), "h", "left_anti")
+    left, right = (signatures(x.withColumn("salt", F.lit(0).cast("bigint")), threshold) for x in (new, wb))
+    marked = (F.col("l.h").bitwiseOR(F.col("r.h")).bitwiseAND(F.lit(1))) == 1
+    pairs = left.alias("l").join(right.alias("r"), (F.col("l.sig") == F.col("r.sig")) & marked).select(bare(F.col("l.h")).alias("ha"), bare(F.col("r.h")).alias("hb")).distinct()
+    near = pairs.join(new.select(F.col("h").alias("ha"), F.col("words").alias("wa")), "ha").join(wb.select(F.col("h").alias("hb"), F.col("words").alias("wb")), "hb")
+    near = near.filter(set_similarity(F.col("wa"), F.col("wb")) >= threshold).select(F.col("ha").alias("h"))
+    said = wb.select("h").unionByName(near)
+    return found.join(a.join(said, "h", "left_semi").select(*keys), keys, "left_anti")
 
 
 def ranked(facts: DataFrame, now: Column | None = None, half_life: float = HALF_LIFE) -> DataFrame:

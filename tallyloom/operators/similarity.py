@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyloom.functions.text import comparable, set_similarity, text_similarity
+from tallyloom.shipping import ship_package
 
 
 def drop_consecutive(items: DataFrame, threshold: float = 0.92, key: str = "comparable") -> DataFrame:
@@ -33,6 +37,75 @@ def word_hashes(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
+def _levels(threshold: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first size of each level of sizes, parts of each level). Sizes as close as ``threshold`` lie in one level or in neighbours; a set of a level
+    and one of the same or next level that are as similar as that differ in fewer words than the level has parts."""
+    first, parts = [1], []
+    while first[-1] <= most:
+        end = int(first[-1] / threshold + 1e-9) + 1
+        n = end - 1
+        parts.append(int((1 - threshold) / (1 + threshold) * (n + int(n / threshold + 1e-9)) + 1e-9) + 1)
+        first.append(end)
+    return np.array(first), np.array(parts)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _signed(h: np.ndarray, salt: np.ndarray, n: np.ndarray, words: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(sig, h) of sets in ``words`` one after another, ``n`` of each; the last bit of h tells whether the set is of the signature's own level."""
+    first, parts = _levels(threshold, int(n.max(initial=0)))
+    level = np.searchsorted(first, n, "right") - 1
+    flat = words.view(np.uint64) ^ np.uint64(1 << 63)  # in ascending order, as the signed hashes are
+    sigs, ids = [], []
+    for own in (1, 0):
+        at = level - (1 - own)
+        m = np.where((n > 0) & (at >= 0), parts[np.maximum(at, 0)] if len(parts) else 0, 0)
+        m = np.where(m > 1, m, 0)  # one part: only equal sets are as similar
+        start = np.cumsum(m) - m
+        row = np.repeat(np.arange(len(n)), np.where(m > 0, n, 0))
+        held = flat[np.repeat(m > 0, n)]
+        key = start[row] + (((held >> np.uint64(32)) * m[row].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        sums = np.zeros(int(m.sum()), np.uint64)
+        if len(key):
+            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            sums[key[begin]] = np.add.reduceat(_mixed(held), begin)
+        of = np.repeat(np.arange(len(n)), m)
+        part = np.arange(len(of)) - start[of]
+        sigs.append(_mixed(_mixed(sums + salt.view(np.uint64)[of]) + (at[of] * (1 << 32) + part).astype(np.uint64)))
+        ids.append((h[of] & ~1) | own)
+    return np.concatenate(sigs).view(np.int64), np.concatenate(ids)
+
+
+def signatures(sets: DataFrame, threshold: float) -> DataFrame:
+    """(sig, h) of ``sets`` (h, salt, words: sorted hashes): different sets of one salt as similar as ``threshold`` share a sig.
+
+    A set's words are dealt by their hashes into one part more than such sets may differ in words, so that one part at least is
+    the same in both: a sig is the hash of a whole part. No word of its own is a key, however common it is. Sets so small that only equal
+    ones are as similar have none. The last bit of ``h`` is taken for a mark: of two sets that meet one has it.
+    """
+    ship_package(sets.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            h, salt, n = (np.asarray(x.to_numpy(zero_copy_only=False), np.int64) for x in (batch.column(0), batch.column(1), pc.list_value_length(lists)))
+            words = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.int64)
+            sig, ids = _signed(h, salt, n, words, threshold)
+            for i in range(0, len(sig), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(sig[i : i + (1 << 16)]), pa.array(ids[i : i + (1 << 16)])], names=["sig", "h"])
+
+    return sets.select("h", "salt", "words").mapInArrow(run, "sig bigint, h bigint")
+
+
+def bare(h: Column) -> Column:
+    """Without its last bit, which ``signatures`` takes."""
+    return F.shiftleft(F.shiftright(h, 1), 1)
+
+
 def _classes(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ctx_id, seq, c) for each item and (ctx_id, c, words) for each distinct word set of a context; c is its smallest seq."""
     keyed = items.select("ctx_id", "seq", word_hashes(F.col("text")).alias("words"))
