@@ -33,8 +33,12 @@ def drop_consecutive(items: DataFrame, threshold: float = 0.92, key: str = "comp
 
 def word_hashes(text: Column) -> Column:
     """The distinct lower-case words of a-z and 0-9 as sorted 64-bit hashes."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+    words = F.filter(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+")), lambda x: x != "")
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+
+
+#: Values of a broadcast filter at most: texts are read again only where the hash of their key, reduced to so many values, is wanted.
+_FILTER = 1 << 21
 
 
 def _levels(threshold: float, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,38 +110,34 @@ def bare(h: Column) -> Column:
     return F.shiftleft(F.shiftright(h, 1), 1)
 
 
-def _classes(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ctx_id, seq, c) for each item and (ctx_id, c, words) for each distinct word set of a context; c is its smallest seq."""
-    keyed = items.select("ctx_id", "seq", word_hashes(F.col("text")).alias("words"))
-    keyed = keyed.select("ctx_id", "seq", "words", F.xxhash64("words").alias("h1"), F.hash("words").alias("h2"))
-    own = keyed.groupBy("ctx_id", "h1", "h2").agg(F.min_by(F.struct(F.col("seq").alias("c"), "words"), "seq").alias("x"))
-    members = keyed.select("ctx_id", "seq", F.min("seq").over(W.partitionBy("ctx_id", "h1", "h2")).alias("c"))
-    return members, own.select("ctx_id", "x.c", "x.words")
-
-
-def prefixes(rows: DataFrame, keys: list[str], words: str, threshold: float) -> DataFrame:
-    """keys, n, word: of n distinct words (sorted hashes) the first n - ceil(threshold * n) + 1.
-
-    Any fixed order of all words serves a prefix filter: two sets as similar as ``threshold`` share one of these words.
-    """
-    n = F.size(words)
-    head = F.slice(words, F.lit(1), F.greatest(F.lit(0), n - F.ceil(n * threshold - 1e-9).cast("int") + 1))
-    return rows.select(*keys, n.alias("n"), F.explode(head).alias("word"))
+def _fewer(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``rows`` whose keys may be among those of ``wanted``: all that are, and few others."""
+    bits = F.pmod(F.xxhash64(*keys), F.lit(_FILTER)).alias("__bits")
+    return rows.select("*", bits).join(F.broadcast(wanted.select(bits).distinct()), "__bits", "left_semi").drop("__bits")  # _FILTER numbers at most
 
 
 def similar_classes(items: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(ctx_id, seq, c) and (ctx_id, a, b, similarity) with a < b, of different word sets as similar as ``threshold``. Words are told apart by 64-bit hashes.
 
-    Items of equal word sets, blank ones among them, are one class and aren't paired with each other. Candidates share a word of their prefixes.
+    Items of equal word sets, blank ones among them, are one class and aren't paired with each other. Classes are named by their smallest seq. Candidates share a signature;
+    words cross the network for candidates' first items alone.
     """
-    members, classes = _classes(items)
-    prefix = prefixes(classes, ["ctx_id", "c"], "words", threshold)
-    a, b = prefix.alias("a"), prefix.alias("b")
-    near = (F.col("a.c") < F.col("b.c")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold - 1e-9)
-    pairs = a.join(b, (F.col("a.ctx_id") == F.col("b.ctx_id")) & (F.col("a.word") == F.col("b.word")) & near).select(F.col("a.ctx_id").alias("ctx_id"), F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
-    left, right = classes.select("ctx_id", F.col("c").alias("a"), F.col("words").alias("wa")), classes.select("ctx_id", F.col("c").alias("b"), F.col("words").alias("wb"))
-    scored = pairs.join(left, ["ctx_id", "a"]).join(right, ["ctx_id", "b"]).select("ctx_id", "a", "b", set_similarity(F.col("wa"), F.col("wb")).alias("similarity"))
-    return members, scored.filter(F.col("similarity") >= threshold)
+    keyed = items.select("ctx_id", "seq", word_hashes(F.col("text")).alias("words"))
+    sets = keyed.select("ctx_id", "seq", "words", bare(F.xxhash64("ctx_id", "words")).alias("h"))
+    members = sets.select("ctx_id", "seq", "h", F.hash("words").alias("h2"))
+    members = members.select("ctx_id", "seq", "h", F.min("seq").over(W.partitionBy("ctx_id", "h", "h2")).alias("c"))
+    met = signatures(sets.withColumn("salt", F.xxhash64("ctx_id")), threshold).repartition("sig").distinct()
+    a, b = met.alias("a"), met.alias("b")
+    marked = (F.col("a.h").bitwiseOR(F.col("b.h")).bitwiseAND(F.lit(1))) == 1
+    pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (bare(F.col("a.h")) < bare(F.col("b.h"))) & marked).select(bare(F.col("a.h")).alias("ha"), bare(F.col("b.h")).alias("hb")).distinct()
+    firsts = members.filter("seq = c").select("ctx_id", "seq", "h").join(pairs.select(F.explode(F.array("ha", "hb")).alias("h")), "h", "left_semi")
+    read = _fewer(items.select("ctx_id", "seq", "text"), firsts, ["ctx_id", "seq"]).select("ctx_id", "seq", word_hashes(F.col("text")).alias("words"))
+    classes = read.join(firsts, ["ctx_id", "seq"]).select("h", F.struct("ctx_id", F.col("seq").alias("c"), "words").alias("x"))
+    left, right = classes.select(F.col("h").alias("ha"), F.col("x").alias("p")), classes.select(F.col("h").alias("hb"), F.col("x").alias("q"))
+    scored = pairs.join(left, "ha").join(right, "hb").filter(F.col("p.ctx_id") == F.col("q.ctx_id"))
+    named = F.least("p.c", "q.c").alias("a"), F.greatest("p.c", "q.c").alias("b")
+    scored = scored.select(F.col("p.ctx_id").alias("ctx_id"), *named, set_similarity(F.col("p.words"), F.col("q.words")).alias("similarity"))
+    return members.drop("h"), scored.filter(F.col("similarity") >= threshold)
 
 
 def similar_pairs(items: DataFrame, threshold: float) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tallyloom.operators import facts as fc
 
 
@@ -35,3 +37,14 @@ def test_to_remember_matches_all_pairs(spark):
     want = {i for i, t in enumerate(told + said) if not any(_sim(sets(t), k) >= 0.92 for k in known)}
     assert {r.seq for r in fc.to_remember(found, memories).collect()} == want  # a memory without words says what a sentence without words does
     assert 0 < len(want) < len(told + said)
+
+
+def test_common_words_are_no_keys(spark):
+    from tallyloom.operators.similarity import signatures, word_hashes
+
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(30)]
+    texts = [" ".join(common + [f"r{rng.randrange(10**6)}" for _ in range(40)]) for _ in range(300)]
+    sets = spark.createDataFrame(list(enumerate(texts)), "i bigint, text string").select((F.col("i") * 2).alias("h"), F.lit(0).cast("bigint").alias("salt"), word_hashes(F.col("text")).alias("words"))
+    met = signatures(sets, 0.88).groupBy("sig").agg(F.count_distinct(F.shiftright("h", 1)).alias("n"))
+    assert met.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] < 300 * 299 / 2 * 0.02
