@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -157,10 +158,14 @@ def drop_near_duplicates(items: DataFrame, threshold: float = 0.88) -> DataFrame
     context's classes are folded in order: a class falls if one of its earlier partners stands.
     """
     members, pairs = similar_classes(items, threshold)
-    pairs = pairs.groupBy("ctx_id", "b").agg(F.collect_set("a").alias("partners"))
-    entry = F.struct(F.col("b").cast("bigint").alias("b"), F.col("partners").cast("array<bigint>").alias("partners"))
-    start = F.expr("cast(array() as array<bigint>)")
-    fold = F.aggregate("all", start, lambda out, x: F.when(F.size(F.array_except(x["partners"], out)) > 0, F.array_append(out, x["b"])).otherwise(out))
-    gone = pairs.groupBy("ctx_id").agg(F.array_sort(F.collect_list(entry)).alias("all")).select("ctx_id", F.explode(fold).alias("seq"))
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        gone, rows = set(), rows.sort_values("b")
+        for a, b in zip(rows["a"].tolist(), rows["b"].tolist()):  # a is before b, so that all about a is known
+            if a not in gone:
+                gone.add(b)
+        return pd.DataFrame({"ctx_id": rows["ctx_id"].iloc[0], "seq": sorted(gone)})
+
+    gone = pairs.select("ctx_id", F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).groupBy("ctx_id").applyInPandas(fold, f"ctx_id {pairs.schema['ctx_id'].dataType.simpleString()}, seq bigint")
     again = members.filter("seq <> c").select("ctx_id", F.col("seq").cast("bigint").alias("seq"))
     return items.join(gone.unionByName(again), ["ctx_id", "seq"], "left_anti")

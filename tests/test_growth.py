@@ -48,3 +48,21 @@ def test_common_words_are_no_keys(spark):
     sets = spark.createDataFrame(list(enumerate(texts)), "i bigint, text string").select((F.col("i") * 2).alias("h"), F.lit(0).cast("bigint").alias("salt"), word_hashes(F.col("text")).alias("words"))
     met = signatures(sets, 0.88).groupBy("sig").agg(F.count_distinct(F.shiftright("h", 1)).alias("n"))
     assert met.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] < 300 * 299 / 2 * 0.02
+
+
+def test_near_duplicates_of_long_texts_match_a_loop(spark):
+    from tallyloom.operators.similarity import drop_near_duplicates
+
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(200)]
+    sets = [(c, x) for c in range(3) for x in _near(rng, words, [1, 4, 9, 17, 40, 90], 9, lambda n: n // 8 + 1)]
+    rng.shuffle(sets)
+    df = spark.createDataFrame([(c, i, " ".join(sorted(x))) for i, (c, x) in enumerate(sets)], "ctx_id bigint, seq bigint, text string")
+    want, kept = set(), {}
+    for i, (c, x) in enumerate(sets):
+        if not any(_sim(x, k) >= 0.88 for k in kept.setdefault(c, [])):
+            kept[c].append(x)
+            want.add(i)
+    out = drop_near_duplicates(df, 0.88)
+    assert {r.seq for r in out.collect()} == want and 0 < len(want) < len(sets)
+    assert "collect_set" not in out._jdf.queryExecution().toString()  # no array holds a context's pairs
