@@ -144,16 +144,22 @@ def escalation_warnings(items: DataFrame, totals: DataFrame) -> DataFrame:
 def greedy_fit(items: DataFrame, budget: int | Column, by: list[str], group: list[str]) -> DataFrame:
     """In order ``by``, each item that still fits is taken; one that doesn't is skipped.
 
-    A fold over a group's sorted counts alone; the rows are joined back by their place.
+    A fold over a group's sorted counts alone; the rows are joined back by their place. Where an item of some count doesn't fit, none of
+    that count fits later, so that of each count only the first ones that could fill the budget take part: the fold is bounded by the budget, whatever a
+    group's size. Counts are not negative.
     """
     budget = F.lit(budget) if isinstance(budget, int) else budget
-    placed = items.withColumns({"__budget": budget.cast("bigint"), "__place": F.row_number().over(W.partitionBy(*group).orderBy(*by))})
-    grouped = placed.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("__place", _tokens().cast("bigint").alias("t")))).alias("__all"), F.max("__budget").alias("__budget"))
+    count = _tokens().cast("bigint")
+    ranked = items.withColumns({"__budget": budget.cast("bigint"), "__count": count}).withColumn("__nth", F.row_number().over(W.partitionBy(*group, "__count").orderBy(*by)))
+    first = ranked.filter((F.col("__count") <= 0) | (F.col("__nth") * F.col("__count") <= F.col("__budget"))).drop("__nth")
+    placed = first.withColumn("__place", F.row_number().over(W.partitionBy(*group).orderBy(*by)))
+    grouped = placed.filter("__count <> 0").groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("__place", _tokens().cast("bigint").alias("t")))).alias("__all"), F.max("__budget").alias("__budget"))
     empty = F.struct(F.lit(0).cast("bigint").alias("used"), F.expr("cast(array() as array<int>)").alias("kept"))
 
     def take(s, x):
         fits = s["used"] + x["t"] <= F.col("__budget")
         return F.struct(F.when(fits, s["used"] + x["t"]).otherwise(s["used"]).alias("used"), F.when(fits, F.array_append(s["kept"], x["__place"])).otherwise(s["kept"]).alias("kept"))
 
-    kept = grouped.select(*group, F.explode(F.aggregate("__all", empty, take)["kept"]).alias("__place"))
-    return placed.join(kept, [*group, "__place"], "left_semi").select(*items.columns)
+    kept = grouped.select(*group, F.explode(F.aggregate("__all", empty, take)["kept"]).alias("__place"), F.lit(True).alias("__taken"))
+    free = (F.col("__count") == 0) & (F.col("__budget") >= 0)  # fits at any time
+    return placed.join(kept, [*group, "__place"], "left").filter(F.coalesce("__taken", free)).select(*items.columns)

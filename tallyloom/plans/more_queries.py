@@ -461,7 +461,7 @@ def build_semantic(spark, sf_dir):
 
     v, a = _vectors(spark, sf_dir)
     items = v.withColumns({"slot": F.lit("v"), "role": F.lit("user"), "text": F.lit("")})
-    plan = ContextPlan(anchors=a).tokens(100).slot("v", 50, overflow="semantic")
+    plan = ContextPlan(anchors=a).tokens(100).slot("v", 50, overflow="semantic", max_items=2**31 - 1)  # a label holds any number of vectors
     return plan.build(items).items.select("ctx_id", "seq", "tokens", "slot")
 
 

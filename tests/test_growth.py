@@ -66,3 +66,24 @@ def test_near_duplicates_of_long_texts_match_a_loop(spark):
     out = drop_near_duplicates(df, 0.88)
     assert {r.seq for r in out.collect()} == want and 0 < len(want) < len(sets)
     assert "collect_set" not in out._jdf.queryExecution().toString()  # no array holds a context's pairs
+
+
+def test_build_semantic_takes_large_slots(spark, tmp_path):
+    from tallyloom.operators import overflow as ov
+    from tallyloom.registry import queries
+
+    rng = random.Random(14)
+    vectors = [(i, [rng.random(), rng.random()], 0) for i in range(10_050)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = queries()["build_semantic"](spark, str(tmp_path)).collect()
+    assert {r.seq for r in rows if r.seq % 50 == 0} == set(range(0, 10_050, 50))  # pinned ones stay, and leave no room
+    items = [(i % 2, i, rng.choice([0, 0, 3, 7, 7, 11, 40, 200])) for i in range(3000)]
+    want = set()
+    for c, budget in ((0, 150), (1, -1)):
+        used = 0
+        for _, i, t in (x for x in items if x[0] == c):
+            if used + t <= budget:
+                used += t
+                want.add(i)
+    df = spark.createDataFrame(items, "ctx_id bigint, seq bigint, tokens bigint").withColumn("room", F.when(F.col("ctx_id") == 0, 150).otherwise(-1))
+    assert {r.seq for r in ov.greedy_fit(df, F.col("room"), ["seq"], ["ctx_id"]).collect()} == want
