@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.functions import pandas_udf
 
 # Overhead tokens of each provider (per message, per conversation, per name).
 OVERHEADS = [("anthropic", 3, 1, 0), ("google", 4, 2, 0), ("mistral", 4, 2, 1), ("ollama", 4, 2, 1), ("openai", 4, 2, 1)]
@@ -82,20 +85,62 @@ def counted_once(items: DataFrame) -> DataFrame:
     return items.join(counts, items["text"].eqNullSafe(counts["text"]), "left").drop(counts["text"]).withColumn("tokens", F.coalesce("counted", F.lit(0))).drop("counted")
 
 
-def utf16_units(text: Column) -> Column:
-    """The text's UTF-16 code units as an array of numbers."""
-    held = F.hex(F.encode(text, "UTF-16BE"))
-    return F.transform(F.sequence(F.lit(1), F.length(held) - 3, F.lit(4)), lambda i: F.conv(F.substring(held, i, F.lit(4)), 16, 10).cast("bigint"))
+_BASIS, _PRIME = 2166136261, 16777619
+
+
+def _fnv_texts(texts: list[str]) -> np.ndarray:
+    """FNV-1a of each text over its UTF-16 code units, position by position over all texts that are long enough."""
+    held = [t.encode("utf-16-le", "surrogatepass") for t in texts]
+    flat, n = np.frombuffer(b"".join(held), np.uint16), np.array([len(b) // 2 for b in held], np.int64)
+    order, start = np.argsort(-n, kind="stable"), np.cumsum(n) - n
+    start, size, h = start[order], n[order], np.full(len(n), _BASIS, np.uint32)
+    live = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")  # texts longer than each position
+    few = int(np.searchsorted(-live, -16, "left"))  # from here on so few that plain numbers are faster
+    for i in range(few):
+        k = live[i]
+        h[:k] = (h[:k] ^ flat[start[:k] + i]) * np.uint32(_PRIME)
+    for k in range(int(live[few]) if few < len(live) else 0):
+        x = int(h[k])
+        for c in flat[start[k] + few : start[k] + size[k]].tolist():
+            x = (x ^ c) * _PRIME & 0xFFFFFFFF
+        h[k] = x
+    out = np.empty(len(n), np.int64)
+    out[order] = h
+    return out
+
+
+def _fnv_pieces(texts: list[str], per_token: int) -> list[np.ndarray]:
+    """FNV-1a of each piece of ``per_token`` characters of each text."""
+    held = [t.encode("utf-32-le", "surrogatepass") for t in texts]
+    flat, n = np.frombuffer(b"".join(held), np.uint32), np.array([len(b) // 4 for b in held], np.int64)
+    pieces, start = -(-n // per_token), np.cumsum(n) - n
+    ends, row = np.cumsum(pieces), np.repeat(np.arange(len(n)), pieces)
+    at = start[row] + (np.arange(len(row)) - (ends - pieces)[row]) * per_token
+    left, h = (start + n)[row] - at, np.full(len(row), _BASIS, np.uint32)
+    for i in range(per_token):
+        c = flat[np.minimum(at + i, max(0, len(flat) - 1))] if len(flat) else h
+        wide = c > 0xFFFF
+        one = (h ^ np.where(wide, 0xD7C0 + (c >> np.uint32(10)), c)) * np.uint32(_PRIME)  # a pair of code units for characters beyond 16 bits
+        both = np.where(wide, (one ^ (0xDC00 + (c & np.uint32(0x3FF)))) * np.uint32(_PRIME), one)
+        h = np.where(i < left, both, h)
+    return np.split(h.astype(np.int64), ends[:-1]) if texts else []
 
 
 def fnv1a32(text: Column) -> Column:
     """FNV-1a over UTF-16 code units, 32 bits."""
-    start = F.lit(2166136261).cast("bigint")
-    step = lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619).cast("bigint")).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
-    return F.when(F.length(text) > 0, F.aggregate(utf16_units(text), start, step)).otherwise(start)
+
+    @pandas_udf("bigint")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(_fnv_texts(texts.fillna("").tolist()))
+
+    return run(text)
 
 
 def char_encode(text: Column, per_token: int = 4) -> Column:
     """A token id for each ``per_token`` characters: the FNV-1a hash of the piece. It can't be decoded."""
-    pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.length(text) / per_token).cast("int") - 1), lambda i: F.substring(text, i * per_token + 1, F.lit(per_token)))
-    return F.when(F.length(text) > 0, F.transform(pieces, fnv1a32)).otherwise(F.array().cast("array<bigint>"))
+
+    @pandas_udf("array<bigint>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(_fnv_pieces(texts.fillna("").tolist(), per_token))
+
+    return run(text)

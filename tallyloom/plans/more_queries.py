@@ -10,6 +10,7 @@ from tallyloom.plans.base import FACTS, ITEMS, RAG, chat_items, facts, load, rag
 from tallyloom.plans.build_queries import _KEPT, _TWO, _compiled, _messages, _META, _meta
 from tallyloom.plans.content_queries import _COMPRESSED, _JACC, _LINES, _SPACE, _VEC, _WORDS, _texts, _TEXTS, _vectors
 from tallyloom.registry import register
+from tallyloom.shipping import ship_package
 
 RECURSIVE = ("WITH ", "WITH RECURSIVE ", 1)
 
@@ -193,9 +194,10 @@ _FNV = "list_reduce(list_transform(range(1, length({t}) + 1), lambda i: unicode(
 
 @register("tok_fnv", f"WITH t AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '[^\\x01-\\x{{D7FF}}]', '', 'g') AS s FROM conversations) SELECT conv_id, turn, {_FNV.format(t='s')} AS h, CASE WHEN s = '' THEN 0 ELSE ceil(length(s) / 4.0)::BIGINT END AS n, CASE WHEN s <> '' THEN {_FNV.format(t='s[1:4]')} END AS first_id FROM t")
 def tok_fnv(spark, sf_dir):
+    ship_package(spark)
     c = load(spark, sf_dir, "conversations").withColumn("s", F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x01-\\uD7FF]", ""))  # one code unit a character
-    ids = tk.char_encode(F.col("s"))
-    return c.select("conv_id", "turn", tk.fnv1a32(F.col("s")).alias("h"), F.size(ids).cast("bigint").alias("n"), F.get(ids, 0).alias("first_id"))
+    c = c.select("conv_id", "turn", tk.fnv1a32(F.col("s")).alias("h"), tk.char_encode(F.col("s")).alias("ids"))
+    return c.select("conv_id", "turn", "h", F.size("ids").cast("bigint").alias("n"), F.get("ids", F.lit(0)).alias("first_id"))
 
 
 @register("tok_bpe_round_trip", "SELECT conv_id, turn, coalesce(text, '') AS text, true AS counted FROM conversations")

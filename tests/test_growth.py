@@ -95,3 +95,18 @@ def test_results_without_text_count_one_token(spark):
     rows = [(1, "", 0, False), (2, None, 0, False), (3, None, None, True), (4, "", 0, True), (5, "x" * 2001, 501, False), (6, "x" * 2001, 501, True)]
     df = spark.createDataFrame(rows, "seq bigint, text string, tokens bigint, definition boolean")
     assert {r.seq: (r.truncated, r.tokens) for r in truncate_results(df).collect()} == {1: (False, 1), 2: (False, 1), 3: (False, 1), 4: (False, 1), 5: (True, 499), 6: (False, 501)}
+
+
+def test_fnv_of_long_texts(spark):
+    from tallyloom.functions import tokens as tk
+
+    def fnv(text):
+        h, b = 2166136261, text.encode("utf-16-le")
+        for i in range(0, len(b), 2):
+            h = (h ^ (b[i] | b[i + 1] << 8)) * 16777619 & 0xFFFFFFFF
+        return h
+
+    texts = ["", "a", "é😀b中", "abcdefghi", "ab😀" * 100_000, *["xy" * 40] * 30]  # the long one took quadratic time
+    df = spark.createDataFrame(list(enumerate([*texts, None])), "i int, text string").select("i", tk.fnv1a32(F.col("text")).alias("h"), tk.char_encode(F.col("text")).alias("ids"))
+    got = {r.i: (r.h, r.ids) for r in df.collect()}
+    assert got == {i: (fnv(t), [fnv(t[k : k + 4]) for k in range(0, len(t), 4)]) for i, t in enumerate([*texts, ""])}
